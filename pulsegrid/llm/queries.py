@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, mixing, quality_rules, url_filter
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
