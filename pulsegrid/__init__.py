@@ -1 +1,8 @@
 """pulsegrid: a PySpark-native analytics engine for spatio-temporal count data."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have this package installed: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
