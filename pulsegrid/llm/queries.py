@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import compression_classifier, exact_dedup, html_extract, mixing, quality_rules, secret_scan, token_counts, url_filter
+from . import compression_classifier, exact_dedup, html_extract, mixing, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
 
 QUERIES = {
+    "op1_sentence_pieces": sentence_pieces.op1_sentence_pieces,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_html_extract": html_extract.op3_html_extract,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
