@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,26 @@ def blank_spaced(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
+
+
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column of it that tells its rows apart: ``id_col`` where no id is null or repeated.
+
+    Else the rows are written with a number each, and the key is a new column of (id is null, id, number), which sorts as the ids do.
+    """
+    ids = docs.groupBy(id_col).count()
+    if ids.where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+        return docs, id_col
+    name = f"key_{uuid.uuid4().hex}"
+    number = F.monotonically_increasing_id()
+    return written(docs.withColumn(name, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), number.alias("row"))), "keyed"), name
+
+
+def keep_rows(docs: DataFrame, id_col: str, decide: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The rows of ``docs``, all columns as they were, that ``decide`` keeps: it gets a table and its key column and returns doc_id and kept.
+
+    Rows are dropped by an anti-join with the dropped keys, which are the fewer; Spark broadcasts them only where they are few.
+    """
+    source, key = keyed(docs, id_col)
+    dropped = written(decide(source, key).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_key")), "dropped")
+    return source.join(dropped, source[key] == dropped["dropped_key"], "left_anti").select(*(source[c] for c in docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blank_spaced, table, written
+from .common import blank_spaced, keyed, table, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -138,19 +138,20 @@ def mix_sources(
     return out.withColumnsRenamed({f"keep_{c}": c for c in keep})
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: rows of ``docs``, all columns as they were, each as often as the mix takes it.
 
     A whole pass over a document repeats its row; where the last run of blocks begins or ends within a document (at
-    most twice a shard, thrice where the run closes its circle), a row holds just the words of the run, joined by blanks. Documents of which no word is taken, empty ones included, are left out.
+    most twice a shard, thrice where the run closes its circle), a row holds just the words of the run, joined by blanks.
+    Documents of which no word is taken, empty ones included, are left out.
     """
     cols = docs.columns
-    marked = written(docs.select(F.monotonically_increasing_id().alias("rid"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(cols))), "mix-input")
-    at = {options.get(k, d): f"c{cols.index(options.get(k, d))}" for k, d in (("text_col", "text"), ("source_col", "source"), ("id_col", "doc_id"))}
-    text, source, ident = (at[options.get(k, d)] for k, d in (("text_col", "text"), ("source_col", "source"), ("id_col", "doc_id")))
-    rest = {k: v for k, v in options.items() if k not in ("text_col", "source_col", "id_col")}
-    plan = mix_sources(marked, id_col=ident, text_col=text, source_col=source, keep=("rid",), **rest).where("taken > 0")
-    rows = marked.join(plan.select("rid", "size", "passes", "first_word", "last_word", "first_word2", "last_word2"), "rid")
+    source, key = keyed(docs, id_col)
+    renamed = source.select(F.col(key).alias("doc_id"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(cols)))
+    text, origin = (f"c{cols.index(c)}" for c in (text_col, source_col))
+    plan = mix_sources(renamed, "doc_id", text, origin, **options).where("taken > 0")
+    plan = written(plan.select("doc_id", "size", "passes", "first_word", "last_word", "first_word2", "last_word2"), "mix-plan")
+    rows = renamed.join(plan, "doc_id")
     words = F.array_remove(F.split(blank_spaced(F.col(text)), " "), "")
 
     def run(a: str, b: str) -> Column:

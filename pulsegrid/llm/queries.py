@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import compression_classifier, exact_dedup, html_extract, mixing, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
+from . import compression_classifier, exact_dedup, html_extract, mixing, near_dedup, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
 
 QUERIES = {
     "op1_sentence_pieces": sentence_pieces.op1_sentence_pieces,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_html_extract": html_extract.op3_html_extract,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_compression_classifier": compression_classifier.op8_compression_classifier,
