@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..config import LAG_MASS, LAGS, MAX_LAG, MIN_LAG, OBSERVATIONS, LagSpec, known
 
@@ -145,12 +146,12 @@ def log_gamma(x: Column) -> Column:
     return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def digamma_of(x: pd.Series) -> pd.Series:
     return x.map(digamma)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erf_of(x: pd.Series) -> pd.Series:
     return x.map(math.erf)
 
