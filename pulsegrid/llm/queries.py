@@ -16,4 +16,8 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLE_SQL = {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {
+    "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_near_dedup": near_dedup.ORACLE_SQL,
+    "op7_url_filter": url_filter.ORACLE_SQL,
+}

@@ -128,3 +128,29 @@ def filter_urls(
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _level(name: str, keys: str, parent: str | None) -> str:
+    """One level of the hierarchy in SQL: its counts with the parent's mean, the prior strength by moments, and the posterior."""
+    low, high = STRENGTH
+    mean = f"JOIN {parent} USING ({keys.rpartition(', ')[0]})" if parent else ", (SELECT (coalesce(sum(s), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM hosts)"
+    return f"""{name}_c AS (SELECT {keys}, g.n, g.s, m FROM (SELECT {keys}, sum(n)::DOUBLE AS n, sum(s)::DOUBLE AS s FROM hosts GROUP BY ALL) g {mean}),
+{name}_x AS (SELECT avg((s - n * m) * (s - n * m) / (n * m * (1 - m))) AS x, avg(n) AS n FROM (SELECT n, s, least(greatest(m, 1e-3), 1 - 1e-3) AS m FROM {name}_c WHERE n > 0)),
+{name}_k AS (SELECT CASE WHEN x IS NULL OR n <= 1 THEN {low} WHEN (x - 1) / (n - 1) <= 1 / ({high} + 1) THEN {high} ELSE greatest({low}, (n - 1) / (x - 1) - 1) END AS k FROM {name}_x),
+{name} AS (SELECT {keys}, s + k * m AS a, n - s + k * (1 - m) AS b, (s + k * m) / (n + k) AS m FROM {name}_c, {name}_k)"""
+
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+_TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+ORACLE_SQL = rf"""
+WITH rules(v, rh, rp) AS (VALUES {_RULES}),
+t AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
+ruled AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
+labels AS (SELECT host, string_split(regexp_replace(host, '^.*@|:\d*$', '', 'g'), '.') AS l, count(v) AS n, count(CASE WHEN v = 'allow' THEN 1 END) AS s FROM ruled GROUP BY host),
+hosts AS (SELECT host, n, s, CASE WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix, array_to_string(CASE WHEN two THEN l[-3:] ELSE l[-2:] END, '.') AS domain FROM (SELECT *, array_to_string(l[-2:], '.') IN ({_TWO}) AS two FROM labels)),
+{_level("l1", "suffix", None)},
+{_level("l2", "suffix, domain", "(SELECT suffix, m FROM l1)")},
+{_level("l3", "suffix, domain, host", "(SELECT suffix, domain, m FROM l2)")}
+SELECT page_id, ruled.host, path, rule, coalesce(v, CASE WHEN m + {Z} * sqrt(m * (1 - m) / (a + b + 1)) < {MIN_REPUTATION} THEN 'block' ELSE 'allow' END) AS verdict FROM ruled JOIN l3 ON l3.host = ruled.host
+"""
