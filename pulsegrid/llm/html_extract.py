@@ -33,11 +33,14 @@ MARKS = frozenset(
     "comment comments commentlist reply replies disqus discussion respond "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchform form widget contentinfo".split()
 )
+#: Words of a page's top, and words that say a top is an article's.
+PAGE_TOP = frozenset(("header", "topbar"))
+OF_ARTICLE = frozenset("article entry post story content main body text".split())
 #: Elements that hold a whole page keep their content even if a mark stands in their class.
 WHOLE = frozenset(("html", "body", "main", "article"))
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']++|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 MARK_WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -55,17 +58,21 @@ class PageWeights:
     other_tag: float = -0.5
 
 
-def _marked(name: str, attributes: str) -> bool:
-    """Whether class, id or role say that the element is no part of the article, or it is hidden."""
+def _marked(name: str, attributes: str, inside: bool) -> bool:
+    """Whether class, id or role say that the element is no part of the article, or it is hidden. A header is the page's unless it is ``inside`` an article or named after one."""
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return name not in WHOLE
-        if key == "aria-hidden":
+        if key == "style" and "display:none" in value.lower().replace(" ", ""):
+            return name not in WHOLE
+        if key in ("aria-hidden", "style"):
             continue
         words = set(MARK_WORD.findall(CAMEL.sub(" ", value).lower()))
         if words & MARKS and (name not in WHOLE or (name == "article" and words & {"comment", "comments", "ad", "related", "promo", "sponsored", "advert", "reply"})):
             return True
+        if words & PAGE_TOP and not inside and not words & OF_ARTICLE and name not in WHOLE:
+            return True
     return False
 
 
@@ -117,7 +124,7 @@ def page_items(page: str, skip: frozenset[str] = SKIPPED) -> list[Item]:
                     put("close", "skipped" if was else name)
             continue
         attributes = m[3] or m[6] or ""
-        marked = _marked(name, attributes)
+        marked = _marked(name, attributes, inside > 0)
         if name in CONTAINERS and skipping and not marked and not opened["article"]:
             stack[:] = [(n, False) for n, _ in stack]
             skipping = 0

@@ -75,6 +75,13 @@ def test_html(holder):
     assert html_extract.main_text(page, html_extract.PageWeights()) == TEXT + "\n\n" + ("more words " * 20).strip()
 
 
+def test_html_tops_and_hidden_parts():
+    w = html_extract.PageWeights()
+    body = "<p>" + "some words " * 20 + "</p>"
+    page = f'<body><div id="header">Site</div><div class="c"><div class="article-header">Title here</div>{body}<p style="display: none">secret</p><p hidden>more</p></div></body>'
+    assert html_extract.main_text(page, w) == "Title here\n\n" + ("some words " * 20).strip()
+
+
 def test_html_odd():
     w = html_extract.PageWeights()
     assert [html_extract.main_text(x, w) for x in (None, "", "plain words", "<p>a<p>b <b>c", "<div></div>", "<script>x")] == ["", "", "plain words", "a\n\nb c", "", ""]
