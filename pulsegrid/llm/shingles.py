@@ -29,30 +29,50 @@ def run_places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word [^\\x20\\x09-\\x0D]+, A-Z as a-z, of the texts in a row, and each text's number of words.
-
-    A word's hash is the mixed sum of its bytes, each times a weight of its place.
-    """
+def _word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word; ``begins``: where texts begin."""
     space = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
     ink = ~space
     first = ink.copy()
     first[1:] &= space[:-1]
-    begins = offsets[:-1][(offsets[:-1] < len(data)) & (np.diff(offsets) > 0)]
     first[begins] |= ink[begins]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets) - 1, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), starts
     kept = np.cumsum(ink)
     at = kept[starts] - 1  # place of each word's first byte among the bytes of words
     lengths = np.diff(at, append=kept[-1])
     letters = data[ink]
     letters = np.where((letters >= 65) & (letters <= 90), letters + np.uint8(32), letters)
-    place = run_places(np.zeros(len(lengths), dtype=np.int64), lengths)
-    products = (letters.astype(np.uint64) + np.uint64(1)) * weights(int(lengths.max()), 0)[place]
-    hashes = mixed(np.add.reduceat(products, at) + lengths.astype(np.uint64) * np.uint64(STEP))
-    n_words = np.diff(np.searchsorted(starts, offsets))
-    return hashes, n_words
+    products = weights(int(lengths.max()), 0)[run_places(np.zeros(len(lengths), dtype=np.int64), lengths)]
+    products *= letters.astype(np.uint64) + np.uint64(1)
+    return mixed(np.add.reduceat(products, at) + lengths.astype(np.uint64) * np.uint64(STEP)), starts
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word (run of bytes that are not white space), A-Z as a-z, of the texts in a row, and each text's number of words.
+
+    A word's hash is the mixed sum of its bytes, each times a weight of its place. Long texts go in pieces of about
+    ``piece`` bytes, cut at white space, so memory goes with the number of words.
+    """
+    begins = np.unique(offsets[:-1][np.diff(offsets) > 0])
+    hashes, starts, a = [], [], 0
+    while a < len(data):
+        b = min(len(data), a + piece)
+        while b < len(data):
+            rest = data[b : b + piece]
+            gap = np.flatnonzero((rest == 0x20) | ((rest >= 0x09) & (rest <= 0x0D)))
+            if len(gap):
+                b += int(gap[0])
+                break
+            b += len(rest)
+        h, s = _word_hashes(data[a:b], begins[np.searchsorted(begins, a) : np.searchsorted(begins, b)] - a)
+        hashes.append(h)
+        starts.append(s + a)
+        a = b
+    if not hashes:
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets) - 1, dtype=np.int64)
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), offsets))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +134,7 @@ def set_prints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_runs(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_runs(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``most_bytes``: first and last row, bytes and offsets. No nulls."""
     if not len(texts):
         return
