@@ -101,7 +101,16 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     ids = ids.groupBy("_id").agg(F.min("_y").alias("_y"))
     counts = {r["_y"]: r["count"] for r in ids.groupBy("_y").count().collect()}
-    first = [ids.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows) for y in (0, 1)]
+
+    def first_rows(y: int) -> DataFrame:
+        # The first rows in hash order lie below this share of all hashes, so no task sorts or sends more than a few times the sample.
+        share = (4 * sample_rows + 100) / max(1, counts.get(y, 0))
+        rows = ids.where(F.col("_y") == y)
+        if share < 1:
+            rows = rows.where(F.xxhash64("_id") < int(share * 2**64) - 2**63)
+        return rows.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+
+    first = [first_rows(y) for y in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # at most 2 * sample_rows pairs of numbers
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).where(F.char_length("_t") <= sample_chars).join(chosen, "_id")
