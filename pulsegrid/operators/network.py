@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +9,6 @@ from ..config import EPS8, UPPER
 from ..functions.scalars import inv_logit_stable
 
 
-
 def _own() -> Column:
     return F.col("dst") == F.col("src")
 

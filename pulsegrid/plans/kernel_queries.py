@@ -11,7 +11,6 @@ from ..config import LagSpec
 from ..functions.special import lag_weights
 from ..inference import filters, models, predict, simulate, spatial, spectral
 from ..operators import network
-
 from . import fixtures as fx
 from .fixtures import MONTHS, PHI
 
@@ -211,7 +210,6 @@ def horseshoe_alpha_uniform(spark: SparkSession, d: str) -> DataFrame:
     return network.horseshoe_alpha(gone, F.lit(0.4), keys=["sample"], uniform_if_empty=True)
 
 
-
 QUERIES = {
     f.__name__: f
     for f in (
