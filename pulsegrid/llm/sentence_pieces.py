@@ -28,7 +28,7 @@ SEED = 29
 VARIANTS = 8
 #: Units of more code points go through a heap one by one; shorter ones through numpy together.
 LONGEST_TOGETHER = 48
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 BLANK = "▁"
 NONE = np.int32(2**31 - 1)
 
@@ -243,7 +243,7 @@ class PieceModel:
         for a, b in zip(edges, edges[1:], strict=False):
             width = int(of[by_length[a]])
             if width <= LONGEST_TOGETHER:
-                step = max(1, (1 << 21) // max(1, width))
+                step = max(1, (1 << 19) // max(1, width))
                 for c in range(a, b, step):
                     part = by_length[c : min(b, c + step)]
                     for rows, symbols in self._merge_together(points[starts[which[part]][:, None] + np.arange(width)], variants[part], seed, threshold):
