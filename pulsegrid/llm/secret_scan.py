@@ -75,8 +75,8 @@ def linked_spans(text: str, lowered: str, base: list[Span]) -> list[Span]:
     taken = _overlaps(base)
     found = [("id", m.start(), m.end()) for m in WEAK_ID.finditer(lowered)]
     found += [("key", m.start(), m.end()) for m in WEAK_KEY.finditer(lowered)]
-    found += [("key", m.start(), m.end()) for m in BARE_KEY.finditer(text)] if found or base else []
-    found += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(lowered)] if found or base else []
+    found += [("key", m.start(), m.end()) for m in BARE_KEY.finditer(text)]
+    found += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(lowered)]
     weak = [s for s in found if not taken(s[1], s[2])]
     if not weak:
         return []
