@@ -229,6 +229,13 @@ class PanelModel:
         x[k : k + 4] = np.log(0.01), np.log(20.0), np.log(max(self.y.mean() * 0.2, 0.1)), -2.0
         return x
 
+    def coefficients(self, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log a and log b of each draw, by place."""
+        k = self.n * self.ns + 4
+        ma, mb = self._map(self.alpha), self._map(self.beta)
+        za, zb = np.split(draws[:, k:], [ma.shape[1]], axis=1)
+        return draws[:, [k - 2]] + za @ ma.T, draws[:, [k - 1]] + zb @ mb.T
+
     def target(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         n, ns = self.n, self.ns
         ma, mb = self._map(self.alpha), self._map(self.beta)
@@ -263,15 +270,15 @@ class PanelModel:
         return float(f), np.concatenate([((dw * sd) @ mix.T - eta).ravel(), static, ma.T @ da - za, mb.T @ db - zb])
 
 
-def run_chains(panel: DataFrame, build, names, n_chains: int, n_burn: int, n_keep: int, seed: int = 1) -> DataFrame:
+def run_chains(panel: DataFrame, build, names, n_chains: int, n_burn: int, n_keep: int, seed: int = 1, edges: DataFrame | None = None) -> DataFrame:
     """Chains of a model over a panel that fits one kernel: (chain, iter, param, idx, value), one Arrow group a chain.
 
-    ``build(pdf)`` makes the model from the panel's rows; ``names(model, draws)`` gives {param: draws x idx}. Parallel over chains.
+    ``build(pdf)``, or ``build(pdf, edges)`` with ``edges`` given, makes the model from all their rows; ``names(model, draws)`` gives {param: draws x idx}. Parallel over chains.
     """
     from pyspark.sql import functions as F
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        model = build(pdf)
+    def chain(key: tuple, *frames: pd.DataFrame) -> pd.DataFrame:
+        model = build(*frames)
         rng = np.random.SeedSequence([seed, int(key[0])])
         draws, _ = hmc.sample(model.target, model.start(), rng, n_burn, n_keep)
         out = []
@@ -281,5 +288,12 @@ def run_chains(panel: DataFrame, build, names, n_chains: int, n_burn: int, n_kee
             out.append(pd.DataFrame({"chain": int(key[0]), "iter": it + 1, "param": param, "idx": idx, "value": x.ravel()}))
         return pd.concat(out)
 
-    dealt = panel.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(n_chains))))
-    return dealt.groupBy("chain").applyInPandas(run, "chain int, iter int, param string, idx int, value double")
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return chain(key, pdf)
+
+    def run_with_edges(key: tuple, pdf: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        return chain(key, pdf, links)
+
+    deal = lambda df: df.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(n_chains)))).groupBy("chain")
+    schema = "chain int, iter int, param string, idx int, value double"
+    return deal(panel).applyInPandas(run, schema) if edges is None else deal(panel).cogroup(deal(edges)).applyInPandas(run_with_edges, schema)

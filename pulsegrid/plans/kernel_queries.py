@@ -148,7 +148,7 @@ def polya_gamma_states(spark: SparkSession, d: str) -> DataFrame:
         x = filters.polya_gamma_ffbs(np.random.default_rng([13, s]), y, 0.05, 10.0, 40)[10:]
         return pd.DataFrame({"s": np.int32(s), "t": t, "psi": x.mean(0), "sd": x.std(0)})
 
-    return _by_series(fx.panel(spark, d).where("s < 5 and t <= 30"), "s int, t int, psi double, sd double", kernel)
+    return _by_series(fx.panel(spark, d), "s int, t int, psi double, sd double", kernel)
 
 
 def hmc_chain(spark: SparkSession, d: str) -> DataFrame:
@@ -166,28 +166,33 @@ def _wide(pdf: pd.DataFrame) -> np.ndarray:
     return pdf.pivot(index="t", columns="s", values="y").to_numpy()
 
 
+def _square(edges: pd.DataFrame, value: str, pdf: pd.DataFrame) -> np.ndarray:
+    """Edge values as a matrix (dst x src) in the order of the panel's columns; 0 where there is no edge."""
+    ids = np.sort(pdf["s"].unique())
+    return edges.pivot(index="dst", columns="src", values=value).reindex(index=ids, columns=ids).fillna(0.0).to_numpy()
+
+
 def infer_network(spark: SparkSession, d: str) -> DataFrame:
-    """Two chains of the network model over five nations."""
+    """Two chains of the network model over the whole panel and its distances."""
 
     def names(model, draws):
         k = model.n * model.ns
         return {"mu": np.exp(draws[:, k]), "W": np.exp(draws[:, k + 1]), "rho_dist": np.exp(draws[:, k + 2]), "retention": 1 / (1 + np.exp(-draws[:, k + 3 : k + 3 + model.ns]))}
 
-    i = np.arange(5)
-    build = lambda pdf: models.NetworkModel(_wide(pdf), np.abs(i[:, None] - i) / 4.0, PHI)
-    return models.run_chains(fx.panel(spark, d).where("s < 5"), build, names, 2, 80, 80)
+    build = lambda pdf, edges: models.NetworkModel(_wide(pdf), _square(edges, "dist", pdf), PHI)
+    return models.run_chains(fx.panel(spark, d), build, names, 2, 80, 80, edges=fx.pairs(spark, d))
 
 
 def infer_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Two chains of the panel model with spatial coefficients over five nations."""
+    """Two chains of the panel model with spatial coefficients over the whole panel and its neighbourhood graph."""
 
     def names(model, draws):
         k = model.n * model.ns
-        return {"W": np.exp(draws[:, k]), "size": np.exp(draws[:, k + 1]), "alpha0": draws[:, k + 2], "beta0": draws[:, k + 3]}
+        log_a, log_b = model.coefficients(draws)
+        return {"W": np.exp(draws[:, k]), "size": np.exp(draws[:, k + 1]), "alpha0": draws[:, k + 2], "beta0": draws[:, k + 3], "alpha": np.exp(log_a), "beta": np.exp(log_b)}
 
-    v = np.eye(5, k=1) + np.eye(5, k=-1)
-    build = lambda pdf: models.PanelModel(_wide(pdf), v, PHI, "spatial", "spatial", "iid", "bym2")
-    return models.run_chains(fx.panel(spark, d).where("s < 5"), build, names, 2, 80, 80)
+    build = lambda pdf, edges: models.PanelModel(_wide(pdf), _square(edges, "v", pdf), PHI, "spatial", "spatial", "iid", "bym2")
+    return models.run_chains(fx.panel(spark, d), build, names, 2, 80, 80, edges=fx.adjacency(spark, d))
 
 
 def posterior_predictive(spark: SparkSession, d: str) -> DataFrame:

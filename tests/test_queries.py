@@ -31,6 +31,16 @@ def test_kernels_run(spark, sf_dir, name):
     assert len(got) and not got.isna().any().any()
 
 
+@pytest.mark.parametrize(("name", "param"), [("polya_gamma_states", None), ("infer_network", "retention"), ("infer_panel", "alpha")])
+def test_samplers_take_the_whole_panel(spark, sf_dir, name, param):
+    got = kernel_queries.QUERIES[name](spark, sf_dir).toPandas()
+    assert len(got) and not got.isna().any().any()
+    if param:
+        assert set(got.idx[got.param == param]) == set(range(25)) and set(got.chain) == {1, 2}
+    else:
+        assert set(zip(got.s, got.t, strict=True)) == {(s, t) for s in range(25) for t in range(kernel_queries.MONTHS + 1)}
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
