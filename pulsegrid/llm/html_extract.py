@@ -36,6 +36,11 @@ MARKS = frozenset(
 #: Words of a page's top, and words that say a top is an article's.
 PAGE_TOP = frozenset(("header", "topbar"))
 OF_ARTICLE = frozenset("article entry post story content main body text".split())
+#: Words that make of a class a state or a topic of the element ("has-sidebar", "share-enabled", "tag-advertising"), not its role.
+STATES = frozenset("has with without no not is enabled disabled open opened closed active inactive on off free layout category tag type format status".split())
+#: Elements whose ids are anchors and whose text runs on in the article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Elements that hold a whole page keep their content even if a mark stands in their class.
 WHOLE = frozenset(("html", "body", "main", "article"))
 
@@ -58,8 +63,19 @@ class PageWeights:
     other_tag: float = -0.5
 
 
-def _marked(name: str, attributes: str, inside: bool) -> bool:
-    """Whether class, id or role say that the element is no part of the article, or it is hidden. A header is the page's unless it is ``inside`` an article or named after one."""
+def _roles(value: str) -> set[str]:
+    """First and last words of each name in a class, id or role, but for names of a state."""
+    names = (MARK_WORD.findall(CAMEL.sub(" ", name).lower()) for name in value.split())
+    return {w for words in names if words and STATES.isdisjoint(words) for w in (words[0], words[-1])}
+
+
+def _marked(name: str, attributes: str, inside: bool, in_article: bool) -> bool:
+    """Whether class, id or role say that the element is no part of the article, or it is hidden. A header is the page's unless it is ``inside`` an article or named after one.
+
+    A mark is the first or last word of a name. Ids of headings and inline elements are anchors and mark nothing; nor do, ``inside``
+    an article or main element, their classes and the ids of sections, nor, ``in_article``, any id.
+    """
+    flowing = name in HEADINGS or name in INLINE
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
@@ -68,10 +84,12 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
             return name not in WHOLE
         if key in ("aria-hidden", "style"):
             continue
-        words = set(MARK_WORD.findall(CAMEL.sub(" ", value).lower()))
-        if words & MARKS and (name not in WHOLE or (name == "article" and words & {"comment", "comments", "ad", "related", "promo", "sponsored", "advert", "reply"})):
+        if flowing and (inside or key == "id") or key == "id" and (in_article or inside and name == "section"):
+            continue
+        roles = _roles(value)
+        if roles & MARKS and (name not in WHOLE or (name == "article" and roles & {"comment", "comments", "ad", "related", "promo", "sponsored", "advert", "reply"})):
             return True
-        if words & PAGE_TOP and not inside and not words & OF_ARTICLE and name not in WHOLE:
+        if roles & PAGE_TOP and not inside and name not in WHOLE and OF_ARTICLE.isdisjoint(MARK_WORD.findall(CAMEL.sub(" ", value).lower())):
             return True
     return False
 
@@ -124,7 +142,7 @@ def page_items(page: str, skip: frozenset[str] = SKIPPED) -> list[Item]:
                     put("close", "skipped" if was else name)
             continue
         attributes = m[3] or m[6] or ""
-        marked = _marked(name, attributes, inside > 0)
+        marked = _marked(name, attributes, inside > 0, opened["article"] > 0)
         if name in CONTAINERS and skipping and not marked and not opened["article"]:
             stack[:] = [(n, False) for n, _ in stack]
             skipping = 0

@@ -92,6 +92,20 @@ def test_html_tops_and_hidden_parts():
     assert html_extract.main_text(page, w) == "Title here\n\n" + ("some words " * 20).strip()
 
 
+@pytest.mark.parametrize("part", ['<section id="discussion">%s</section>', '<h2 id="related-work">%s</h2>', '<h2 id="comments">%s</h2>', '<h3 class="search">%s</h3>', '<p><span class="notice">%s</span></p>', '<div id="search">%s</div>', '<div class="has-sidebar">%s</div>'])
+def test_html_keeps_named_parts_of_an_article(part):
+    body = "<p>" + "some words " * 20 + "</p>"
+    page = f'<body><nav>Home</nav><article>{body}{part % "Named part"}{body}<div class="ad">BUY</div><div class="comments">First!</div></article><div class="site-footer">us</div></body>'
+    words = ("some words " * 20).strip()
+    assert html_extract.main_text(page, html_extract.PageWeights()) == f"{words}\n\nNamed part\n\n{words}"
+
+
+@pytest.mark.parametrize("classes", ["post-content has-sidebar", "content share-enabled", "content with-comments no-ads", "hentry tag-advertising", "page has-header", "post comments-open"])
+def test_html_states_in_a_class_are_no_marks(classes):
+    page = f'<body><div class="main-nav">Home</div><div class="{classes}"><h2 id="search">Head</h2>{2 * ("<p>" + "some words " * 20 + "</p>")}</div><div class="left-sidebar">Other</div><div id="comments">First!</div></body>'
+    assert html_extract.main_text(page, html_extract.PageWeights()) == "\n\n".join(("Head", *2 * (("some words " * 20).strip(),)))
+
+
 def test_html_odd():
     w = html_extract.PageWeights()
     assert [html_extract.main_text(x, w) for x in (None, "", "plain words", "<p>a<p>b <b>c", "<div></div>", "<script>x")] == ["", "", "plain words", "a\n\nb c", "", ""]
