@@ -2,8 +2,9 @@
 
 The encoder is byte-pair merging over an agenda: candidates, pairs of neighbouring symbols whose join is a piece, are taken by
 score, leftmost first, and a popped candidate is skipped for good where a keyed hash says so. The hash's key is the seed, the
-unit (a run of blanks and the word behind it, which no piece crosses), the occurrence's variant, and the candidate's place; so
-a candidate's fate is known when it comes up, and equal (unit, variant) pairs are merged once, many at a time in numpy.
+unit (a run of blanks and the word behind it, which no piece crosses), the occurrence's document and place, and the candidate's place; so
+a candidate's fate is known when it comes up. Each distinct unit is merged once without skips, many at a time in numpy; an occurrence that
+skips none of these joins ends alike, and each of the others is merged on its own.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import table
 VOCABULARY = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 29
-#: Segmentations that a unit can have under one seed: an occurrence's variant is a keyed hash of its document and place.
-VARIANTS = 8
+#: Segmentations that a unit can have under one seed, at most; none: no bound, each occurrence draws its own by a keyed hash of its document and place.
+VARIANTS = None
 #: Units of more code points go through a heap one by one; shorter ones through numpy together.
 LONGEST_TOGETHER = 48
 CHUNK_BYTES = 4 << 20
@@ -60,6 +61,24 @@ def unit_key(unit: str, seed: int, variant: int) -> int:
     return mix(h ^ mix(seed * STEP1 + variant + 1))
 
 
+def unit_hashes(points: np.ndarray) -> np.ndarray:
+    """What unit_key makes of the code points of units of one length, before seed and variant come in."""
+    h = np.full(len(points), FNV_START, dtype=np.uint64)
+    for k in range(points.shape[1]):
+        h = (h ^ points[:, k].astype(np.uint64)) * np.uint64(FNV_PRIME)
+    return h
+
+
+def unit_keys(hashes: np.ndarray, seed: int, variants: np.ndarray) -> np.ndarray:
+    """unit_key of arrays."""
+    return mix_array(hashes ^ mix_array(variants.astype(np.uint64) + np.uint64((seed * STEP1 + 1) & U64)))
+
+
+def place_key(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What a candidate's place adds to its unit's key in is_skipped."""
+    return start.astype(np.uint64) * np.uint64(STEP1) + middle.astype(np.uint64) * np.uint64(STEP2) + end.astype(np.uint64) * np.uint64(STEP3)
+
+
 def is_skipped(key: int, start: int, middle: int, end: int, threshold: int) -> bool:
     return mix(key + start * STEP1 + middle * STEP2 + end * STEP3) < threshold
 
@@ -175,17 +194,13 @@ class PieceModel:
             propose(a, after[a])
         return [s for s, g in zip(sym, gone, strict=True) if not g]
 
-    def _merge_together(self, points: np.ndarray, variants: np.ndarray, seed: int, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _merge_together(self, points: np.ndarray, variants: np.ndarray, seed: int, threshold: int, joins: list[tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The agenda of many units of one length at once: (rows, symbols) as they come to an end.
 
-        Each round joins in each row its best candidate, the leftmost of equals. A row that has none is done.
+        Each round joins in each row its best candidate, the leftmost of equals. A row that has none is done. ``joins`` gets each round's rows and what their joins add to a key.
         """
         n, width = points.shape
-        key = np.full(n, FNV_START, dtype=np.uint64)
-        for k in range(width):
-            key = (key ^ points[:, k].astype(np.uint64)) * np.uint64(FNV_PRIME)
-        by_variant = np.array([mix(seed * STEP1 + v + 1) for v in range(int(variants.max(initial=0)) + 1)], dtype=np.uint64)
-        key = mix_array(key ^ by_variant[variants])
+        key = unit_keys(unit_hashes(points), seed, variants)
         rows = np.arange(n)
         sym = self.char_id[points]
         sym = np.where(sym >= 0, sym, -points.astype(np.int32) - 1)
@@ -195,8 +210,7 @@ class PieceModel:
             to = self.join(left, right)
             rank = np.where(to >= 0, self.rank[to], NONE)
             if threshold:
-                with np.errstate(over="ignore"):
-                    h = mix_array(k + a.astype(np.uint64) * np.uint64(STEP1) + b.astype(np.uint64) * np.uint64(STEP2) + e.astype(np.uint64) * np.uint64(STEP3))
+                h = mix_array(k + place_key(a, b, e))
                 rank = np.where(h < np.uint64(threshold), NONE, rank)
             return rank
 
@@ -213,6 +227,8 @@ class PieceModel:
             if not m:
                 return
             r = np.arange(m)
+            if joins is not None:
+                joins.append((rows, place_key(pos[r, j], pos[r, j + 1], pos[r, j + 2])))
             sym[r, j] = self.join(sym[r, j], sym[r, j + 1])
             keep = np.ones((m, width), dtype=bool)
             keep[r, j + 1] = False
@@ -282,7 +298,42 @@ class PieceModel:
         total = np.concatenate([[0], ends])[np.concatenate([[0], owner_ends])]
         return out.astype(np.int32), np.diff(total)
 
-    def encode_column(self, texts: pa.Array, keys: np.ndarray, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+    def _skipping(self, units: list[str], which: np.ndarray, variants: np.ndarray, seed: int, dropout: float) -> np.ndarray:
+        """Places of the pairs (units[which], variants) that skip a join of their unit's agenda without skips. Long units count as such."""
+        threshold = np.uint64(threshold_of(dropout))
+        lengths = np.array([len(u) for u in units], dtype=np.int64)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        starts = np.cumsum(lengths) - lengths
+        hashes = np.zeros(len(units), dtype=np.uint64)
+        owners, places = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+        for width in np.unique(lengths[lengths <= LONGEST_TOGETHER]).tolist():
+            same = np.flatnonzero(lengths == width)
+            step = max(1, (1 << 19) // max(1, width))
+            for c in range(0, len(same), step):
+                part = same[c : c + step]
+                letters, joins = points[starts[part][:, None] + np.arange(width)], []
+                hashes[part] = unit_hashes(letters)
+                for _ in self._merge_together(letters, np.zeros(len(part), dtype=np.uint64), seed, 0, joins):
+                    pass
+                owners += [part[rows] for rows, _ in joins]
+                places += [key for _, key in joins]
+        owner, place = np.concatenate(owners), np.concatenate(places)
+        place = place[np.argsort(owner, kind="stable")]
+        n_joins = np.bincount(owner, minlength=len(units))
+        first = np.cumsum(n_joins) - n_joins
+        long = lengths > LONGEST_TOGETHER
+        skips = long[which]
+        left = np.flatnonzero(n_joins[which] > 0)
+        key, at, to = unit_keys(hashes[which[left]], seed, variants[left]), first[which[left]], (first + n_joins)[which[left]]
+        while len(left):
+            skipped = mix_array(key + place[at]) < threshold
+            skips[left[skipped]] = True
+            at = at + 1
+            go = ~skipped & (at < to)
+            left, key, at, to = left[go], key[go], at[go], to[go]
+        return np.flatnonzero(skips)
+
+    def encode_column(self, texts: pa.Array, keys: np.ndarray, seed: int, dropout: float, variants: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and each text's number of ids. ``keys``: a 64-bit key for each text. No nulls."""
         split = pc.split_pattern(texts, " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
@@ -311,7 +362,7 @@ class PieceModel:
             ids[concatenated(starts[rows], sizes)] = got
         return ids, n_ids
 
-    def _encode_words(self, words: pa.Array, offsets: np.ndarray, prefix: str, keys: np.ndarray, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_words(self, words: pa.Array, offsets: np.ndarray, prefix: str, keys: np.ndarray, seed: int, dropout: float, variants: int | None) -> tuple[np.ndarray, np.ndarray]:
         if not len(words):
             return np.zeros(0, dtype=np.int32), np.zeros(len(keys), dtype=np.int64)
         coded = words.dictionary_encode()
@@ -320,14 +371,22 @@ class PieceModel:
         variants = variants if dropout else 1
         n_words = np.diff(offsets)
         place = np.arange(len(words), dtype=np.uint64) - np.repeat(offsets[:-1], n_words).astype(np.uint64)
-        variant = (mix_array(np.repeat(mix_array(keys.view(np.uint64) ^ np.uint64(mix(seed))), n_words) + place * np.uint64(STEP1)) % np.uint64(variants)).astype(np.int64)
-        pair = which * variants + variant
-        seen = np.zeros(len(units) * variants, dtype=bool)
-        seen[pair] = True
-        distinct = np.flatnonzero(seen)
-        number = np.cumsum(seen) - 1
-        ids, sizes = self.encode_units(units, distinct // variants, distinct % variants, seed, dropout)
-        row = number[pair]
+        variant = mix_array(np.repeat(mix_array(keys.view(np.uint64) ^ np.uint64(mix(seed))), n_words) + place * np.uint64(STEP1))
+        if variants is None:
+            ids, sizes = self.encode_units(units, np.arange(len(units)), np.zeros(len(units), dtype=np.uint64), seed, 0.0)
+            own = self._skipping(units, which, variant, seed, dropout)
+            own_ids, own_sizes = self.encode_units(units, which[own], variant[own], seed, dropout)
+            ids, sizes, row = np.concatenate([ids, own_ids]), np.concatenate([sizes, own_sizes]), which.copy()
+            row[own] = len(units) + np.arange(len(own))
+        else:
+            variant = (variant % np.uint64(variants)).astype(np.int64)
+            pair = which * variants + variant
+            seen = np.zeros(len(units) * variants, dtype=bool)
+            seen[pair] = True
+            distinct = np.flatnonzero(seen)
+            number = np.cumsum(seen) - 1
+            ids, sizes = self.encode_units(units, distinct // variants, distinct % variants, seed, dropout)
+            row = number[pair]
         starts = np.cumsum(sizes) - sizes
         out = ids[concatenated(starts[row], sizes[row])]
         ends = np.concatenate([[0], np.cumsum(sizes[row])])
@@ -388,11 +447,11 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, path: str | None = None) -> DataFrame:
+def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS, path: str | None = None) -> DataFrame:
     """Piece ids of each row's whole text under merge-dropout, and whether they decode to it.
 
     With ``dropout`` 0 the segmentation is the library's own. Else it varies with ``seed``, which a training run may change each epoch, with the unit, and
-    with the occurrence (``variants`` kinds, by a keyed hash of the row's id and the place in the text); it always decodes to the text. The same
+    with the occurrence (by a keyed hash of the row's id and the place in the text, one of ``variants`` kinds if that is given); it always decodes to the text. The same
     id, text and seed give the same ids, however rows are partitioned. A literal U+2581, which stands for a blank in pieces, goes through byte pieces.
 
     Nulls: a null text counts as empty; a null id stays null and has a key of its own. Empty texts have no ids. Repeated rows get the same ids.
