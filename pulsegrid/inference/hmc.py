@@ -73,8 +73,8 @@ def leapfrog(target: Target, x: np.ndarray, p: np.ndarray, g: np.ndarray, step:
     return x, p, f, g
 
 
-def sample(target: Target, start: np.ndarray, seed, n_burn: int, n_keep: int, leaps: tuple[int, int] = (3, 24), length: float = 1.0) -> tuple[np.ndarray, dict]:
-    """Draws of a log density with gradient. Step and mass adapt during burn-in only: the mass once, halfway."""
+def sample(target: Target, start: np.ndarray, seed, n_burn: int, n_keep: int, leaps: tuple[int, int] = (3, 24), length: float = 1.0, renew: Callable[[np.random.Generator, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, dict]:
+    """Draws of a log density with gradient; ``renew`` may move the point, and what the density is given, after each run. Step and mass adapt during burn-in only: the mass once, halfway."""
     rng = np.random.default_rng(seed)
     x = np.asarray(start, dtype=float)
     f, g = target(x)
@@ -90,6 +90,9 @@ def sample(target: Target, start: np.ndarray, seed, n_burn: int, n_keep: int, le
         accepted = float(np.exp(min(0.0, gain))) if np.isfinite(gain) else 0.0
         if rng.random() < accepted:
             x, f, g = y, fy, gy
+        if renew is not None:
+            x = renew(rng, x)
+            f, g = target(x)
         if i < n_burn:
             tuner.update(accepted)
             if n_burn // 4 <= i < n_burn // 2:

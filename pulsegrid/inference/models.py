@@ -99,24 +99,29 @@ class SeriesModel:
 class NetworkModel:
     """Poisson counts with lambda = mu + Phi (R o Y) alpha'. alpha: horseshoe weights with retention, or gravity only.
 
-    Parameters: eta (times x places), log mu, log W, log rho_dist, retention logits, and with ``horseshoe`` effects z with log local and log global scales.
+    Parameters: eta (times x places), log mu, log W, log rho_dist, retention logits, with ``horseshoe`` effects z with log local and log global scales,
+    whose variances a slab of variance ``slab`` bounds, and with ``mobility`` (positive off the diagonal) log rho_mobility. Retention has no covariates, counts no zero inflation.
     """
 
     y: np.ndarray
     dist: np.ndarray
     phi: np.ndarray
     horseshoe: bool = True
+    mobility: np.ndarray | None = None
+    slab: float = 4.0
 
     def __post_init__(self) -> None:
         self.n, self.ns = self.y.shape
+        self.moved = None if self.mobility is None else centre_columns(np.log(np.where(np.eye(self.ns, dtype=bool), 1.0, self.mobility)))
         self.conv = band(self.phi, self.n)
         self.d = centre_columns(self.dist)
         self.off = ~np.eye(self.ns, dtype=bool)
 
     def parts(self, x: np.ndarray) -> dict[str, np.ndarray]:
         n, ns = self.n, self.ns
-        cuts = np.cumsum([n * ns, 3, ns] + ([ns * ns, ns * ns, ns] if self.horseshoe else []))
-        p = dict(zip(("eta", "static", "logit", "z", "local", "tau"), np.split(x, cuts[:-1]), strict=False))
+        blocks = {"eta": n * ns, "static": 3, "logit": ns} | ({"z": ns * ns, "local": ns * ns, "tau": ns} if self.horseshoe else {}) | ({} if self.moved is None else {"mobility": 1})
+        cuts = np.cumsum(list(blocks.values()))
+        p = dict(zip(blocks, np.split(x, cuts[:-1]), strict=False))
         p["eta"] = p["eta"].reshape(n, ns)
         for k in ("z", "local"):
             if k in p:
@@ -124,30 +129,38 @@ class NetworkModel:
         return p
 
     def size(self) -> int:
-        return self.n * self.ns + 3 + self.ns + self.horseshoe * (2 * self.ns * self.ns + self.ns)
+        return self.n * self.ns + 3 + self.ns + self.horseshoe * (2 * self.ns * self.ns + self.ns) + (self.moved is not None)
 
     def start(self) -> np.ndarray:
         x = np.zeros(self.size())
         k = self.n * self.ns
         x[k : k + 3] = np.log(max(self.y[1:].min(), 0.1)), np.log(0.01), 0.0
         if self.horseshoe:
-            x[-self.ns :] = -1.0
+            self.parts(x)["tau"][:] = -1.0
         return x
 
+    def scales(self, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Regularised scales of the effects, and their slopes by the log of the bare ones, as shares."""
+        s = np.exp(p["local"] + p["tau"][None, :])
+        share = self.slab / (self.slab + s * s)
+        return s * np.sqrt(share), share
+
     def weights(self, p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
         w = 1 / (1 + np.exp(-p["logit"]))
         rho = np.exp(p["static"][2])
         v = -rho * self.d
+        if self.moved is not None:
+            v = v + np.exp(p["mobility"][0]) * self.moved
         theta = np.zeros_like(v)
         if self.horseshoe:
-            theta = np.where(self.off, p["z"] * np.exp(p["local"] + p["tau"][None, :]), 0.0)
+            theta = np.where(self.off, p["z"] * self.scales(p)[0], 0.0)
             v = v + centre_columns(theta)
         soft = off_diagonal_softmax(v)
         return soft * (1 - w) + np.diag(w), soft, w, rho, theta
 
     def target(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         p = self.parts(x)
-        if _outside(p["static"][0], "mean") or _outside(p["static"][1], "var") or _outside(p["static"][2], "scale") or any(_outside(p[k], "scale") for k in ("local", "tau") if k in p):
+        if _outside(p["static"][0], "mean") or _outside(p["static"][1], "var") or _outside(p["static"][2], "scale") or any(_outside(p[k], "scale") for k in ("local", "tau", "mobility") if k in p):
             return -np.inf, np.zeros_like(x)
         alpha, soft, w, rho, theta = self.weights(p)
         mu, sd = np.exp(p["static"][0]), np.exp(0.5 * p["static"][1])
@@ -181,7 +194,13 @@ class NetworkModel:
             fl, gl = prior(p["local"])
             ft, gt = prior(p["tau"] - np.log(0.5))
             f += fl + ft - 0.5 * (p["z"] ** 2).sum()
-            parts += [(np.where(self.off, dt * np.exp(p["local"] + p["tau"][None, :]), 0.0) - p["z"]).ravel(), (dt * theta + gl).ravel(), (dt * theta).sum(0) + gt]
+            scale, share = self.scales(p)
+            ds_log = dt * theta * share
+            parts += [(np.where(self.off, dt * scale, 0.0) - p["z"]).ravel(), (ds_log + gl).ravel(), ds_log.sum(0) + gt]
+        if self.moved is not None:
+            a, b = _normal(p["mobility"], 0.0, 1.0)
+            f += a
+            parts.append(np.exp(p["mobility"]) * (dv * self.moved).sum() + b)
         return float(f), np.concatenate(parts)
 
 
@@ -190,7 +209,8 @@ class PanelModel:
     """lambda_st = exp(a_s) + f_st + exp(b_s) sum of W y_(t - 1), negative binomial.
 
     One model for all panel variants: ``alpha`` and ``beta`` are scalar, vector or spatial; ``disturbance`` iid or spatial; ``prior`` car or bym2.
-    Spatial blocks are whitened by their precision at fixed hyperparameters, which a conjugate sweep renews between HMC runs.
+    Spatial blocks are whitened by their precision at given hyperparameters, which ``renew`` draws anew after each HMC run: a block's rho (of ``car``) or share phi
+    (of ``bym2``) by a random walk on its logit, its precision tau from its gamma conditional (a disturbance has W for that). ``trace`` has what each sweep left.
     """
 
     y: np.ndarray
@@ -211,17 +231,58 @@ class PanelModel:
         total = self.v.sum(1, keepdims=True)
         w = np.divide(self.v, total, out=np.zeros_like(self.v), where=total > 0)
         self.cross = np.vstack([np.zeros(self.ns), self.y[:-1] @ w.T])
-        if self.prior == "car":
-            cov = np.linalg.inv(Car(self.v).precision(self.rho))
-        else:
-            cov = Bym2(self.v).covariance(1.0, self.rho)
-        self.root = np.linalg.cholesky(cov + 1e-9 * np.eye(self.ns))
+        self.graph = Car(self.v) if self.prior == "car" else Bym2(self.v)
+        self.hyper = {block: (self.rho, 1.0) for block in ("alpha", "beta", "disturbance") if getattr(self, block) == "spatial"}
+        self.roots = {block: self._root(*h) for block, h in self.hyper.items()}
+        self.trace: list[dict[str, np.ndarray]] = []
+
+    def _root(self, rho: float, tau: float) -> np.ndarray:
+        cov = np.linalg.inv(self.graph.precision(rho)) / tau if self.prior == "car" else self.graph.covariance(tau, rho)
+        return np.linalg.cholesky(cov + 1e-9 * np.eye(self.ns))
 
-    def _map(self, kind: str) -> np.ndarray:
-        return np.ones((self.ns, 1)) if kind == "scalar" else np.eye(self.ns) if kind == "vector" else self.root
+    def _map(self, block: str) -> np.ndarray:
+        kind = getattr(self, block)
+        return np.ones((self.ns, 1)) if kind == "scalar" else np.eye(self.ns) if kind == "vector" else self.roots[block]
+
+    def _forms(self, u: np.ndarray, rho: float) -> tuple[float, float]:
+        """Log determinant of the unit precision, and the rows' sum of its quadratic forms."""
+        if self.prior == "car":
+            return self.graph.logdet(rho), float(((u @ self.graph.precision(rho)) * u).sum())
+        s = self.graph.variances(1.0, rho)
+        return -float(np.log(s).sum()), float(((u @ self.graph.vectors) ** 2 / s).sum())
+
+    def renew_hyper(self, rng: np.random.Generator, u: np.ndarray, rho: float, tau: float, scaled: bool = True, step: float = 0.5) -> tuple[float, float]:
+        """One sweep given fields u (rows x places) of mean 0: rho uniform on its range, tau (if ``scaled``) with a gamma prior of shape and rate 1."""
+        lo, hi = self.graph.bounds if self.prior == "car" else (0.0, 1.0)
+        new = lo + (hi - lo) / (1 + np.exp(-(np.log((rho - lo) / (hi - rho)) + step * rng.standard_normal())))
+
+        def log_density(r: float) -> float:
+            det, quad = self._forms(u, r)
+            return 0.5 * len(u) * det - 0.5 * tau * quad + np.log((r - lo) * (hi - r))
+
+        margin = 1e-6 * (hi - lo)
+        if lo + margin < new < hi - margin and np.log(rng.random()) < log_density(new) - log_density(rho):
+            rho = float(new)
+        if scaled:
+            tau = float(rng.gamma(1 + 0.5 * u.size, 1 / (1 + 0.5 * self._forms(u, rho)[1])))
+        return rho, tau
+
+    def renew(self, rng: np.random.Generator, x: np.ndarray) -> np.ndarray:
+        """Hyperparameters given the fields, and the point that has the same fields under them."""
+        x, k = x.copy(), self.n * self.ns
+        cut = k + 4 + self._map("alpha").shape[1]
+        for block, (rho, tau) in self.hyper.items():
+            where = {"alpha": slice(k + 4, cut), "beta": slice(cut, None), "disturbance": slice(0, k)}[block]
+            u = x[where].reshape(-1, self.ns) @ self.roots[block].T
+            self.hyper[block] = self.renew_hyper(rng, u, rho, tau, block != "disturbance")
+            self.roots[block] = self._root(*self.hyper[block])
+            x[where] = np.linalg.solve(self.roots[block], u.T).T.ravel()
+        log_a, log_b = self.coefficients(x)
+        self.trace.append({"alpha": np.exp(log_a), "beta": np.exp(log_b)} | {f"{what}_{block}": np.array([h[i]]) for block, h in self.hyper.items() for i, what in enumerate(("rho" if self.prior == "car" else "phi", "tau")) if i == 0 or block != "disturbance"})
+        return x
 
     def size(self) -> int:
-        return self.n * self.ns + 4 + self._map(self.alpha).shape[1] + self._map(self.beta).shape[1]
+        return self.n * self.ns + 4 + self._map("alpha").shape[1] + self._map("beta").shape[1]
 
     def start(self) -> np.ndarray:
         x = np.zeros(self.size())
@@ -229,23 +290,23 @@ class PanelModel:
         x[k : k + 4] = np.log(0.01), np.log(20.0), np.log(max(self.y.mean() * 0.2, 0.1)), -2.0
         return x
 
-    def coefficients(self, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log a and log b of each draw, by place."""
+    def coefficients(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log a and log b by place."""
         k = self.n * self.ns + 4
-        ma, mb = self._map(self.alpha), self._map(self.beta)
-        za, zb = np.split(draws[:, k:], [ma.shape[1]], axis=1)
-        return draws[:, [k - 2]] + za @ ma.T, draws[:, [k - 1]] + zb @ mb.T
+        ma, mb = self._map("alpha"), self._map("beta")
+        za, zb = np.split(x[k:], [ma.shape[1]])
+        return x[k - 2] + ma @ za, x[k - 1] + mb @ zb
 
     def target(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         n, ns = self.n, self.ns
-        ma, mb = self._map(self.alpha), self._map(self.beta)
+        ma, mb = self._map("alpha"), self._map("beta")
         eta, (log_w, log_size, a0, b0) = x[: n * ns].reshape(n, ns), x[n * ns : n * ns + 4]
         za, zb = np.split(x[n * ns + 4 :], [ma.shape[1]])
         log_a, log_b = a0 + ma @ za, b0 + mb @ zb
         if _outside(log_w, "var") or _outside(log_size, "size") or _outside(log_a, "mean") or _outside(log_b, "mean"):
             return -np.inf, np.zeros_like(x)
         sd, size = np.exp(0.5 * log_w), np.exp(log_size)
-        mix = self.root.T if self.disturbance == "spatial" else np.eye(ns)
+        mix = self.roots["disturbance"].T if self.disturbance == "spatial" else np.eye(ns)
         noise = eta @ mix
         psi = np.cumsum(noise * sd, 0)
         a, b = np.exp(log_a), np.exp(log_b)
@@ -280,7 +341,7 @@ def run_chains(panel: DataFrame, build, names, n_chains: int, n_burn: int, n_kee
     def chain(key: tuple, *frames: pd.DataFrame) -> pd.DataFrame:
         model = build(*frames)
         rng = np.random.SeedSequence([seed, int(key[0])])
-        draws, _ = hmc.sample(model.target, model.start(), rng, n_burn, n_keep)
+        draws, _ = hmc.sample(model.target, model.start(), rng, n_burn, n_keep, renew=getattr(model, "renew", None))
         out = []
         for param, x in names(model, draws).items():
             x = np.asarray(x).reshape(n_keep, -1)

@@ -173,14 +173,15 @@ def _square(edges: pd.DataFrame, value: str, pdf: pd.DataFrame) -> np.ndarray:
 
 
 def infer_network(spark: SparkSession, d: str) -> DataFrame:
-    """Two chains of the network model over the whole panel and its distances."""
+    """Two chains of the network model over the whole panel, its distances and its flows."""
 
     def names(model, draws):
         k = model.n * model.ns
-        return {"mu": np.exp(draws[:, k]), "W": np.exp(draws[:, k + 1]), "rho_dist": np.exp(draws[:, k + 2]), "retention": 1 / (1 + np.exp(-draws[:, k + 3 : k + 3 + model.ns]))}
+        return {"mu": np.exp(draws[:, k]), "W": np.exp(draws[:, k + 1]), "rho_dist": np.exp(draws[:, k + 2]), "retention": 1 / (1 + np.exp(-draws[:, k + 3 : k + 3 + model.ns])), "rho_mobility": np.exp(draws[:, -1])}
 
-    build = lambda pdf, edges: models.NetworkModel(_wide(pdf), _square(edges, "dist", pdf), PHI)
-    return models.run_chains(fx.panel(spark, d), build, names, 2, 80, 80, edges=fx.pairs(spark, d))
+    build = lambda pdf, edges: models.NetworkModel(_wide(pdf), _square(edges, "dist", pdf), PHI, mobility=_square(edges, "mobility", pdf))
+    edges = fx.pairs(spark, d).join(fx.flow_grid(spark, d), ["dst", "src"]).withColumn("mobility", 1 + F.col("value"))
+    return models.run_chains(fx.panel(spark, d), build, names, 2, 80, 80, edges=edges)
 
 
 def infer_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -188,8 +189,8 @@ def infer_panel(spark: SparkSession, d: str) -> DataFrame:
 
     def names(model, draws):
         k = model.n * model.ns
-        log_a, log_b = model.coefficients(draws)
-        return {"W": np.exp(draws[:, k]), "size": np.exp(draws[:, k + 1]), "alpha0": draws[:, k + 2], "beta0": draws[:, k + 3], "alpha": np.exp(log_a), "beta": np.exp(log_b)}
+        kept = model.trace[-len(draws) :]
+        return {"W": np.exp(draws[:, k]), "size": np.exp(draws[:, k + 1]), "alpha0": draws[:, k + 2], "beta0": draws[:, k + 3]} | {name: np.array([x[name] for x in kept]) for name in kept[0]}
 
     build = lambda pdf, edges: models.PanelModel(_wide(pdf), _square(edges, "v", pdf), PHI, "spatial", "spatial", "iid", "bym2")
     return models.run_chains(fx.panel(spark, d), build, names, 2, 80, 80, edges=fx.adjacency(spark, d))

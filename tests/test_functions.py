@@ -172,6 +172,37 @@ def test_gradients():
         assert np.allclose(m.target(x)[1], hmc.numeric_gradient(lambda z, m=m: m.target(z)[0], x), atol=1e-5)
 
 
+def test_mobility_and_slab_of_the_network_model():
+    rng = np.random.default_rng(4)
+    i = np.arange(4)
+    y, mobility = rng.poisson(6, (12, 4)).astype(float), 1 + rng.poisson(9, (4, 4)).astype(float)
+    for h in (True, False):
+        m = models.NetworkModel(y, np.abs(i[:, None] - i) / 3.0, special.lag_weights(), h, mobility, 0.5)
+        x = m.start() + 0.3 * rng.standard_normal(m.size())
+        assert np.allclose(m.target(x)[1], hmc.numeric_gradient(lambda z, m=m: m.target(z)[0], x), atol=1e-5)
+    m = models.NetworkModel(y, np.abs(i[:, None] - i) / 3.0, special.lag_weights(), slab=0.5)
+    assert m.scales({"local": np.full((4, 4), 3.0), "tau": np.full(4, 3.0)})[0].max() < 0.5**0.5
+
+
+@pytest.mark.parametrize("prior", ["car", "bym2"])
+def test_panel_hyperparameters_are_renewed(prior):
+    rng = np.random.default_rng(6)
+    i = np.arange(12)
+    v = (np.abs(i[:, None] - i) == 1).astype(float)
+    y = rng.poisson(8, (10, 12)).astype(float)
+    m = models.PanelModel(y, v, special.lag_weights(), "spatial", "spatial", "spatial", prior)
+    u = rng.standard_normal((300, 12)) @ m._root(0.8, 4.0).T
+    rho, tau, seen = 0.5, 1.0, []
+    for _ in range(300):
+        rho, tau = m.renew_hyper(rng, u, rho, tau)
+        seen.append((rho, tau))
+    assert np.allclose(np.mean(seen[100:], 0), (0.8, 4.0), atol=0.5) and np.mean(seen[100:], 0)[0] > 0.65
+    x = m.start() + 0.1 * rng.standard_normal(m.size())
+    fields = lambda z: np.concatenate([*m.coefficients(z), z[:120] @ np.kron(np.eye(10), m.roots["disturbance"].T)])
+    before, hyper = fields(x), dict(m.hyper)
+    assert np.allclose(fields(m.renew(rng, x)), before) and m.hyper["alpha"] != hyper["alpha"] and m.hyper["disturbance"][1] == 1.0
+
+
 def test_hmc_recovers_a_gaussian():
     draws, info = hmc.sample(lambda z: (-0.125 * z @ z, -z / 4), np.zeros(4), 3, 400, 1500)
     assert np.allclose(draws.var(0), 4, atol=1.2) and info["accept"] > 0.5
