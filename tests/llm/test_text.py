@@ -145,6 +145,16 @@ def test_tokens(spark):
         token_counts.count_tokens(docs, rule="other")
 
 
+def test_tokens_of_long_texts_without_white_space(spark):
+    bpe = token_counts.tokenizer(token_counts.tokenizer_path())
+    rng = np.random.default_rng(8)
+    texts = [",".join(map(str, rng.integers(0, 10**6, 6000))), "".join(map(chr, rng.integers(97, 123, 40000))), "ab" * 20000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in token_counts.count_tokens(docs).collect():
+        want = bpe.encoding.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(want) and bpe.encode(texts[r.doc_id]).tolist() == want
+
+
 def test_attribution_rules():
     rng = np.random.default_rng(3)
     for _ in range(100):
