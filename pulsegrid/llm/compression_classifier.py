@@ -17,6 +17,8 @@ from .common import table
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
 DICTIONARY_BYTES = 80 << 10
 CHUNK_BYTES = 1024
+#: A text is compressed in blocks of so many bytes, each against the dictionary alone, so that its own history hides no part of it.
+BLOCK_BYTES = 4096
 LEVEL = 3
 RIDGE = 0.05
 
@@ -47,9 +49,10 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _features(text: str | None, compressors) -> tuple[float, ...]:
-    """The size difference by the larger size (also squared) and by the length, and the smaller size by the length."""
+    """The size difference by the larger size (also squared) and by the length, and the smaller size by the length. Sizes are sums over all blocks."""
     data = (text or "").encode("utf-8", "replace")
-    bad, good = (len(c.compress(data)) for c in compressors)
+    blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)] or [data]
+    bad, good = (sum(len(c.compress(b)) for b in blocks) for c in compressors)
     n = len(data)
     by_size, by_length = (bad - good) / (max(bad, good) + 20), (bad - good) / (n + 50)
     return by_size, by_length, by_size * abs(by_size), math.log((min(bad, good) + 20) / (n + 50))

@@ -266,6 +266,18 @@ def test_classifier(spark, sf_dir):
     assert rows.score.between(0, 1).all() and (rows.predicted == (rows.score >= 0.5)).all()
 
 
+def test_classifier_looks_at_all_of_a_long_text(spark, sf_dir):
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = compression_classifier.fit_on_labels(docs, labels)
+    rows = docs.join(labels, "doc_id").where(compression_classifier.held_out(F.col("doc_id")) & F.col("text").isNotNull()).orderBy("doc_id").collect()
+    good, bad = ("\n".join(dict.fromkeys(r.text for r in rows if r.quality == y)) for y in (1, 0))
+    scores = model.scores([good, 4 * good, bad, 4 * bad])
+    assert (scores[:2] > 0.9).all() and (scores[2:] < 0.5).all(), scores
+    assert model.scores([good + 9 * bad])[0] < scores[0]
+    assert abs(scores[0] - scores[1]) < 0.02
+
+
 def test_classifier_odd(spark):
     docs = fx.documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int")
