@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -251,6 +252,86 @@ def test_rules(spark):
     assert quality_rules.quality_rules(fx.empty(spark)).count() == 0
 
 
+def em_by_hand(patterns, steps):
+    """EM over {votes: count} in plain Python, from the documented start."""
+    start = quality_rules.start_model()
+    shares, chances = list(start.shares), [list(p) for p in start.chances.values()]
+    total = sum(patterns.values())
+    prior = max(quality_rules.PRIOR_LEAST, quality_rules.PRIOR_SHARE * total)
+
+    def weights(votes):
+        w = []
+        for c, x in enumerate(shares):
+            for v, p in zip(votes, chances, strict=True):
+                x *= p[c] if v == -1 else 1 - p[c] if v == 1 else 1
+            w.append(x)
+        return [x / sum(w) for x in w]
+
+    for _ in range(steps):
+        w = {v: [n * x for x in weights(v)] for v, n in patterns.items()}
+        old = [*map(list, chances), list(shares)]
+        classes = range(len(shares))
+        first = list(start.chances.values())
+        shares = [(sum(x[c] for x in w.values()) + prior * start.shares[c]) / (total + prior) for c in classes]
+        for r in range(len(chances)):
+            bad = [sum(x[c] for v, x in w.items() if v[r] == -1) + prior * first[r][c] for c in classes]
+            voted = [sum(x[c] for v, x in w.items() if v[r]) + prior for c in classes]
+            better = bad[0] / voted[0] <= sum(bad[1:]) / sum(voted[1:])
+            chances[r] = [x / n for x, n in zip(bad, voted, strict=True)] if better else [sum(bad) / sum(voted)] * len(bad)
+        if max(abs(x - y) for a, b in zip(old, [*chances, shares], strict=True) for x, y in zip(a, b, strict=True)) < quality_rules.TOLERANCE:
+            break
+    return shares, chances, weights
+
+
+def planted_votes(n=4000):
+    """Good documents, of which the rule dup_lines wrongly rejects many, and two kinds of junk, each seen by two rules."""
+    rng = np.random.default_rng(5)
+    rules = list(quality_rules.start_model().chances)
+    rows, truth = [], []
+    for _ in range(n):
+        kind = rng.choice(["good", "marks", "shouting"], p=[0.85, 0.1, 0.05])
+        of = quality_rules.KINDS.get(str(kind), ())
+        chance = [0.9 if r in of else 0.15 if r == "dup_lines" else 0.003 for r in rules]
+        rows.append(tuple(int(v) for v in np.where(rng.random(len(rules)) < 0.1, 0, np.where(rng.random(len(rules)) < chance, -1, 1))))
+        truth.append(kind == "good")
+    return rules, rows, np.array(truth)
+
+
+def test_rules_em(spark):
+    rules, rows, good = planted_votes()
+    patterns = Counter(rows)
+    table = spark.createDataFrame([(list(v), n) for v, n in patterns.items()], "votes array<int>, count long")
+    for steps in (1, 4, quality_rules.ITERATIONS):
+        shares, chances, weights = em_by_hand(patterns, steps)
+        model = quality_rules.fit_votes(table, steps)
+        assert np.allclose(model.shares, shares, atol=1e-9) and np.allclose(list(model.chances.values()), chances, atol=1e-9)
+    kept = np.array([weights(v)[0] >= 0.5 for v in rows])
+    assert (kept == good).mean() > 0.98
+    weak = rules.index("dup_lines")
+    outvoted = np.array([v[weak] == -1 and v.count(-1) == 1 and v.count(0) <= 1 for v in rows])
+    assert outvoted.sum() > 200 and kept[outvoted].mean() > 0.95  # all-must-pass would drop these
+    assert model.shares[0] == pytest.approx(0.85, abs=0.02) and model.chances["dup_lines"][0] == pytest.approx(0.15, abs=0.02)
+    got = table.withColumn("w", quality_rules.class_weights(model)).collect()
+    assert all(np.allclose(np.array(r.w) / sum(r.w), weights(tuple(r.votes))) for r in got)
+    assert quality_rules.fit_votes(table.limit(0)) == quality_rules.start_model()
+
+
+def test_rules_that_are_worse_than_chance_say_nothing(spark):
+    rules = list(quality_rules.start_model().chances)
+    rows = [[1] * len(rules)] * 10 + [[-1 if r == "length" else 1 for r in rules]] * 990 + [[-1 if r in quality_rules.KINDS["shouting"] else 1 for r in rules]] * 300
+    table = spark.createDataFrame([(v,) for v in rows], "votes array<int>").groupBy("votes").count()
+    model = quality_rules.fit_votes(table)
+    for chance in model.chances.values():
+        assert chance[0] <= max(chance) + 1e-12
+
+
+def test_rules_differ_from_all_must_pass(spark, sf_dir):
+    rows = quality_rules.quality_rules(spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.1')}/documents.parquet"))
+    votes = [F.col(c) for c in rows.columns if c.startswith("vote_")]
+    rows = rows.withColumn("n_bad", sum(((v == -1).cast("int") for v in votes), F.lit(0)))
+    assert rows.where("kept and n_bad > 0").count() > 0 and rows.where("not kept and not base_failed and n_bad > 0").count() > 0
+
+
 def test_rules_keep_the_good(spark, sf_dir):
     rows = quality_rules.op10_quality_rules(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("not base_failed")
     good = rows.where("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0]
