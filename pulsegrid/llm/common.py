@@ -21,24 +21,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session (tests) gets a temporary folder; on a cluster that is an error, as each machine would write to its own disk.
+    """
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not conf and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (conf or f"file://{tempfile.gettempdir()}/checkpoints/pulsegrid").rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: what follows no longer depends on shuffle files of executors that may be
-    lost, and ids drawn with monotonically_increasing_id() are fixed once written. The file is
-    removed when the application's file system handle closes.
+    lost, and ids drawn with monotonically_increasing_id() are fixed once written. The files are
+    removed by ``discard``, at the latest when the application's file system handle closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    at, system = _folder(spark, path)
+    system.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables from ``written`` that everything which needs them has read: no result that is still to be computed may."""
+    for df in tables:
+        at, system = _folder(df.sparkSession, df._written_path)
+        system.delete(at, True)
+        system.cancelDeleteOnExit(at)
 
 
 def without_chars(text: Column, chars: str) -> Column:

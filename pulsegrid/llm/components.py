@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,10 +24,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
         large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = written(large, "large-star")
+        discard(e, least)
         least = written(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"), "least")
         hub = large.join(least, F.col("u") == F.col("w"))
         small = hub.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
         e = written(small.where("u != v").distinct(), "small-star")
+        discard(large, least)
         new = _state(e)
         if new == state:
             break

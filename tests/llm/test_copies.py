@@ -1,12 +1,14 @@
 """Exact and near deduplication against brute force."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import components, exact_dedup, near_dedup
+from pulsegrid.llm import components, exact_dedup, near_dedup, shingles
 
 from . import fixtures as fx
 
@@ -67,6 +69,65 @@ def test_near_group_with_pairs_below_the_threshold(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == fx.near_components(rows)
 
 
+def templated(n):
+    """n documents of one template of 100 words and three sentences of a pool that grows with n: pairs are alike, but for few not enough to be linked."""
+    rng, template = random.Random(4), fx.prose(41, 100)
+    pool = [fx.prose(1000 + i, 6) for i in range(max(12, n // 2))]
+    return [(i, f"{template} {' '.join(rng.sample(pool, 3))}") for i in range(n)]
+
+
+def test_near_templates_propose_few_pairs(spark, monkeypatch):
+    """Pairs that go on to full sets grow with the documents, not with their square; in short lists and in long ones."""
+    sizes = {}
+
+    def watched(df, tag, write=near_dedup.written):
+        out = write(df, tag)
+        sizes[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", watched)
+    compared = {}
+    for n in (200, 400):
+        rows = templated(n)
+        want = fx.near_components(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs).collect()} == want
+        compared[n] = sizes["near-rest"] + sizes["near-best"]
+    assert compared[400] < 2.5 * compared[200] and compared[400] < 20 * 400, compared
+
+
+@pytest.mark.parametrize("long_list", [0, 3, 10**9])
+def test_near_lists_of_any_length(spark, monkeypatch, long_list):
+    monkeypatch.setattr(near_dedup.near_components, "__defaults__", (*near_dedup.near_components.__defaults__[:-1], long_list))
+    rows = [(r.doc_id, r.text) for r in fx.unique_documents(spark).collect()] + [(1000 + i, t) for i, t in templated(60)]
+    words = fx.prose(9, 60).split()
+    for i in range(60):
+        w = list(words)
+        for k in range(i % 5 + 1):
+            w[(7 * i + 13 * k) % 60] = f"edit{i}x{k}"
+        rows.append((2000 + i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(docs).collect()} == fx.near_components(rows)
+
+
+def test_near_recall_of_the_match_threshold():
+    """Over 10,000 pairs at similarity 0.75 to 0.8, measured."""
+    rng = np.random.default_rng(12)
+    found = pairs = 0
+    for _ in range(40):
+        sets = []
+        for _ in range(300):
+            size = int(rng.integers(40, 160))
+            shared = -(-3 * 2 * size // 7)  # of equal sizes: shared / (2 size - shared) >= 3/4
+            shared = min(size, shared + int(rng.integers(0, max(1, size // 40))))
+            own = rng.integers(0, 1 << 63, 2 * size - shared, dtype=np.uint64)
+            sets += [np.sort(own[:size]), np.sort(np.concatenate([own[:shared], own[size:]]))]
+        signature = shingles.signatures(np.concatenate(sets), np.array([len(s) for s in sets]), near_dedup.K)
+        matches = (signature[::2] == signature[1::2]).sum(axis=1)
+        found, pairs = found + int((matches >= near_dedup.T).sum()), pairs + len(matches)
+    assert pairs >= 10_000 and found / pairs >= 0.999
+
+
 def test_odd_rows(spark):
     docs = fx.documents(spark)
     got = near_dedup.near_dedup(docs).collect()
