@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,44 @@ def test_html_states_in_a_class_are_no_marks(classes):
     assert html_extract.main_text(page, html_extract.PageWeights()) == "\n\n".join(("Head", *2 * (("some words " * 20).strip(),)))
 
 
+def test_html_part_without_end_tag_ends_at_the_next_block():
+    page = '<article><p class="ad">Buy now<h2>Title two</h2><div>Real text stands here</div><p class="ad"><b>Buy</b><div>More text</div></article>'
+    assert html_extract.main_text(page, html_extract.PageWeights()) == "Title two\n\nReal text stands here\n\nMore text"
+
+
+@pytest.mark.parametrize("name", ["share-price", "rail-times", "social-history", "sharePrice"])
+def test_html_topics_in_a_class_are_no_marks_in_an_article(name):
+    body = "<p>" + "some words " * 20 + "</p>"
+    page = f'<body><article>{body}<div class="{name}">Up two per cent</div>{body}<div class="share-buttons">Tell all</div></article></body>'
+    words = ("some words " * 20).strip()
+    assert html_extract.main_text(page, html_extract.PageWeights()) == f"{words}\n\nUp two per cent\n\n{words}"
+
+
+def test_html_weights_decide():
+    """The article element alone does not: what the weights say is kept or left out, on pages that label their article and on others."""
+    words = "<p>" + "some words " * 20 + "</p>"
+    page = f'<body><nav>Home News</nav><div class="ad">Buy this now</div><div>{words}<div class="widget">Rain at noon</div>{words}</div><div><a href="x">Older</a></div><footer>Imprint</footer></body>'
+    plain = ("some words " * 20).strip()
+    w = html_extract.PageWeights()
+    assert html_extract.main_text(page, w) == f"{plain}\n\n{plain}"
+    assert html_extract.main_text(page, replace(w, part_words={"widget": 0.9})) == f"{plain}\n\nRain at noon\n\n{plain}"
+    assert html_extract.main_text(page, replace(w, link_word=5.0)) == f"{plain}\n\n{plain}\n\nOlder"
+    assert html_extract.main_text(page, replace(w, part_words={"ad": 2.0}, other_part_word=-0.5)).startswith("Buy this now\n\n")
+    assert html_extract.main_text(page, replace(w, tags={"open p": -60.0})) == plain
+    learnt = html_extract.fit_weights([f'<nav>Home</nav><article>{words}<div class="widget">Rain at noon</div><p>{"x " * 9}</p></article><div class="ad">Buy</div>'] * 20)
+    assert learnt.part_words["widget"] > 0 > learnt.part_words["ad"] and learnt.tags["open article"] < learnt.tags["open p"]
+    assert "Rain at noon" in html_extract.main_text(page, learnt)
+
+
+def test_html_on_odd_rows(spark):
+    rows = [(1, "u", PAGE % "<article><p>One two</p></article>"), (1, "u", PAGE % "<article><p>One two</p></article>"), (2, None, None), (None, "v", ""), (3, "w", "<p>x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(7) for c in ("text", "n_chars", "_h", "_id")})
+    got = html_extract.extract_main_text(pages, html_extract.sample_weights(pages)).collect()
+    assert sorted((repr(r.page_id), repr(r.url), r.text) for r in got) == [("1", "'u'", "One two"), ("1", "'u'", "One two"), ("2", "None", ""), ("3", "'w'", "x"), ("None", "'v'", "")]
+    none = pages.limit(0)
+    assert html_extract.extract_main_text(none, html_extract.sample_weights(none)).count() == 0
+
+
 def test_html_odd():
     w = html_extract.PageWeights()
     assert [html_extract.main_text(x, w) for x in (None, "", "plain words", "<p>a<p>b <b>c", "<div></div>", "<script>x")] == ["", "", "plain words", "a\n\nb c", "", ""]
@@ -117,7 +156,7 @@ def test_best_region_is_the_best():
     rng = np.random.default_rng(0)
     w = html_extract.PageWeights(1.0, -0.5, {"open p": -2.0})
     for _ in range(50):
-        items = [("text", "x " * int(rng.integers(1, 4)), 0, 0, "") if rng.random() < 0.5 else ("open", "p", 0, 0, "") for _ in range(12)]
+        items = [("text", "x " * int(rng.integers(1, 4)), "", 0, 0) if rng.random() < 0.5 else ("open", "p", "", 0, 0) for _ in range(12)]
         score = [len(v.split()) if k == "text" else -2.0 for k, v, *_ in items]
         a, b = html_extract.best_region(items, w)
         assert sum(score[a:b]) == max(sum(score[i:j]) for i in range(13) for j in range(i, 13))
