@@ -29,6 +29,11 @@ ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]+|(?<![a-z0-9])(?:ho
 BARE_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[a-z])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", re.A)
 #: A scope ends at a blank line, or at a bracketed section heading.
 SCOPE_END = re.compile(r"\n[\x20\t\r]*\n|\n(?=\[[^\]\n]{1,80}\][\x20\t\r]*\n)")
+#: What may follow a value that ends its line, and precede a name that begins one.
+LINE_REST = re.compile(r"""[\x20\t\r"'`,;}\])]*(?:\n|\Z)""")
+BEFORE_NAME = frozenset(" \t\"'`{[(,-*")
+#: Characters that a plain word of prose has not.
+NOT_PROSE = re.compile(r"[0-9_@+/=!#$%^&*]|(?<=.)[A-Z]|[a-z][.-][a-z]", re.A)
 #: Cheap signs, one of which any text with a weak part has.
 WEAK_SIGNS = ("://", "=", ":")
 
@@ -62,22 +67,50 @@ def _overlaps(spans: list[Span]):
     return test
 
 
+def _plausible(text: str, m: re.Match) -> bool:
+    """Whether a weak name's value looks like one: assigned with = or quoted, no plain word, or a plain word that fills its line (``user: admin``), unlike in prose."""
+    a, b = m.span(1)
+    k = a - 1
+    while k > m.start() and text[k] in " \"'":
+        if text[k] != " ":
+            return True
+        k -= 1
+    if text[k] == "=" or NOT_PROSE.search(text, a, b):
+        return True
+    if text[b - 1] in ".-" or not LINE_REST.match(text, b):
+        return False
+    k = m.start() - 1
+    while k >= 0 and text[k] in BEFORE_NAME:
+        k -= 1
+    return k < 0 or text[k] == "\n"
+
+
+def _first_of_each(spans: list[Span]) -> list[Span]:
+    """Spans without those that overlap an earlier one of their kind; the longer of two that start together stays."""
+    out, ends = [], {}
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= ends.get(kind, 0):
+            out.append((kind, a, b))
+            ends[kind] = b
+    return out
+
+
 def linked_spans(text: str, lowered: str, base: list[Span]) -> list[Span]:
     """Weak parts that a complementary part in their scope confirms.
 
     An interval join of parts with scopes: identifiers (access keys of the base and weak ones), secrets (assignments and hex
     of the base and weak ones) and endpoints fall into the scope that holds their start. In a scope with both an identifier and a secret
     its weak identifiers, secrets and endpoints are reported; in one with a secret and an endpoint, the weak secrets are.
-    Parts that overlap a base span are that span.
+    Parts that overlap a base span are that span, and of weak parts of one kind that overlap the first one counts. Named values have to look like values.
     """
     if not any(s in text for s in WEAK_SIGNS) and not base:
         return []
     taken = _overlaps(base)
-    found = [("id", m.start(), m.end()) for m in WEAK_ID.finditer(lowered)]
-    found += [("key", m.start(), m.end()) for m in WEAK_KEY.finditer(lowered)]
+    found = [("id", m.start(), m.end()) for m in WEAK_ID.finditer(lowered) if _plausible(text, m)]
+    found += [("key", m.start(), m.end()) for m in WEAK_KEY.finditer(lowered) if _plausible(text, m)]
     found += [("key", m.start(), m.end()) for m in BARE_KEY.finditer(text)]
     found += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(lowered)]
-    weak = [s for s in found if not taken(s[1], s[2])]
+    weak = _first_of_each([s for s in found if not taken(s[1], s[2])])
     if not weak:
         return []
     ends = [m.end() for m in SCOPE_END.finditer(text)]
