@@ -14,33 +14,33 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Labelled rows of each class that the model is fitted on, at most, and the code points that such a row may have.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2500, 10_000
 DICTIONARY_BYTES = 80 << 10
 CHUNK_BYTES = 1024
 #: A text is compressed in blocks of so many bytes, each against the dictionary alone, so that its own history hides no part of it.
-BLOCK_BYTES = 4096
+BLOCK_BYTES = 1024
 LEVEL = 3
+#: Bytes that every text's length counts more, so that a few bytes alone say little.
+MORE_BYTES = 10
 RIDGE = 0.05
 
 
 @dataclass(frozen=True)
 class CompressionModel:
-    """Dictionaries of bad and good text and a logistic calibration of their normalised size difference."""
+    """Dictionaries of bad and good text and a logistic calibration of their normalised size difference: the score's log odds are ``intercept`` + ``slope`` * difference."""
 
     bad: bytes
     good: bytes
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
-
-    def compressors(self) -> list[zstandard.ZstdCompressor]:
-        return [_compressor(d) for d in (self.bad, self.good)]
+    intercept: float
+    slope: float
 
     def scores(self, texts) -> np.ndarray:
-        both = self.compressors()
-        x = np.array([_features(t, both) for t in texts], dtype=float).reshape(-1, len(self.mean))
-        z = (x - np.array(self.mean)) / np.array(self.scale)
-        return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ np.array(self.weights[1:]), -30, 30)))
+        both = [_compressor(d) for d in (self.bad, self.good)]
+        return _logistic(self.intercept + self.slope * np.array([size_difference(t, both) for t in texts], dtype=float))
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -48,14 +48,11 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), **options)
 
 
-def _features(text: str | None, compressors) -> tuple[float, ...]:
-    """The size difference by the larger size (also squared) and by the length, and the smaller size by the length. Sizes are sums over all blocks."""
+def size_difference(text: str | None, compressors) -> float:
+    """How many bytes less the text takes with the dictionary of good texts than with that of bad ones, by its length. Sizes are sums over all blocks; 0 for no text."""
     data = (text or "").encode("utf-8", "replace")
-    blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)] or [data]
-    bad, good = (sum(len(c.compress(b)) for b in blocks) for c in compressors)
-    n = len(data)
-    by_size, by_length = (bad - good) / (max(bad, good) + 20), (bad - good) / (n + 50)
-    return by_size, by_length, by_size * abs(by_size), math.log((min(bad, good) + 20) / (n + 50))
+    bad, good = (sum(len(c.compress(data[i : i + BLOCK_BYTES])) for i in range(0, len(data), BLOCK_BYTES)) for c in compressors)
+    return (bad - good) / (len(data) + MORE_BYTES)
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -76,22 +73,25 @@ def fit(bad: list[str], good: list[str], good_share: float) -> CompressionModel:
     held = [(x[1::2] or x) for x in (bad, good)]
     start = math.log((good_share + 1e-3) / (1 - good_share + 1e-3))
     if not all(held):
-        return CompressionModel(*dictionaries, (0.0,) * 4, (1.0,) * 4, (start, 0.0, 0.0, 0.0, 0.0))
-    x = np.array([_features(t, both) for h in held for t in h])
+        return CompressionModel(*dictionaries, start, 0.0)
+    x = np.array([size_difference(t, both) for h in held for t in h])
     y = np.repeat([0.0, 1.0], [len(h) for h in held])
     w = np.where(y == 1, good_share / len(held[1]), (1 - good_share) / len(held[0])) * len(y)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    a = np.column_stack([np.ones(len(y)), (x - mean) / scale])
-    ridge = np.array([1e-6] + [RIDGE] * (a.shape[1] - 1))
-    b = np.zeros(a.shape[1])
-    b[0] = start
+    mean, scale = x.mean(), max(x.std(), 1e-9)
+    intercept, slope = calibrate((x - mean) / scale, y, w, start)
+    return CompressionModel(*dictionaries, intercept - slope * mean / scale, slope / scale)
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: float) -> tuple[float, float]:
+    """Intercept and slope of the weighted logistic regression of y on x by Newton's method; the slope is held a little by RIDGE."""
+    a, b, ridge = np.column_stack([np.ones(len(x)), x]), np.array([start, 0.0]), np.array([1e-6, RIDGE])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+        p = _logistic(a @ b)
         step = np.linalg.solve((a.T * (w * p * (1 - p))) @ a + np.diag(ridge), a.T @ (w * (y - p)) - ridge * b)
-        b += np.clip(step, -2, 2)
+        b = b + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return CompressionModel(*dictionaries, tuple(mean), tuple(scale), tuple(b))
+    return float(b[0]), float(b[1])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -135,7 +135,7 @@ def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "tex
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **sample) -> DataFrame:
     """Score every row of ``docs`` by a model fitted on ``labels``.
 
-    Nulls: a null text counts as empty and gets the score that the calibration gives to no text; a null id is not held out and not
+    Nulls: a null text counts as empty; an empty text gets the calibration's score for a difference of 0; a null id is not held out and not
     learned from. Repeated rows are scored alike, each on its own. Empty tables give an empty result; without labels
     every score is 0.5. Of a doc_id labelled both ways the lower label counts. Other columns are ignored.
 

@@ -435,6 +435,38 @@ def test_classifier_looks_at_all_of_a_long_text(spark, sf_dir):
     assert abs(scores[0] - scores[1]) < 0.02
 
 
+def test_classifier_by_hand():
+    """Scores from plain compressions of each block, and a calibration that no nearby line beats."""
+    import zstandard
+
+    rng = np.random.default_rng(2)
+    good = [fx.prose(i, int(rng.integers(1, 400))) for i in range(120)]
+    bad = ["".join(chr(c) for c in rng.integers(35, 60, int(rng.integers(1, 3000)))) for _ in range(60)]
+    model = compression_classifier.fit(bad, good, 0.8)
+
+    def difference(text):
+        data, size = text.encode(), {}
+        for name, dictionary in (("bad", model.bad), ("good", model.good)):
+            options = {"level": 3, "dict_data": zstandard.ZstdCompressionDict(dictionary), "write_checksum": False, "write_content_size": False, "write_dict_id": False}
+            size[name] = sum(len(zstandard.ZstdCompressor(**options).compress(data[i : i + 1024])) for i in range(0, len(data), 1024))
+        return (size["bad"] - size["good"]) / (len(data) + 10)
+
+    texts = [*good[:5], *bad[:5], "", "x", "é" * 5000]
+    want = [1 / (1 + np.exp(-min(30, max(-30, model.intercept + model.slope * difference(t))))) for t in texts]
+    assert np.allclose(model.scores(texts), want) and model.scores([None])[0] == model.scores([""])[0]
+    x = np.array([difference(t) for t in [*bad[1::2], *good[1::2]]])
+    y = np.repeat([0.0, 1.0], [30, 60])
+    w = np.where(y == 1, 0.8 / 60, 0.2 / 30)
+
+    def loss(a, b):
+        z = a + b * x
+        return (w * np.logaddexp(0, np.where(y == 1, -z, z))).sum() + compression_classifier.RIDGE / 2 / 90 * (b * x.std()) ** 2
+
+    best = loss(model.intercept, model.slope)
+    step = 0.05 / x.std()
+    assert all(loss(model.intercept + da - db * x.mean(), model.slope + db) > best for da in (-0.05, 0, 0.05) for db in (-step, 0, step) if da or db)
+
+
 def test_classifier_odd(spark):
     docs = fx.documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int")
