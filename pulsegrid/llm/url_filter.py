@@ -15,8 +15,11 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Public suffixes of two labels that the operator knows by default.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "co.za", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "com.tr")
+#: Labels that make a public suffix of two labels in front of a country's two letters, as in co.uk; further suffixes are a parameter.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gov", "go", "ne", "net", "or", "org")
+SUFFIXES: tuple[str, ...] = ()
+#: An address in place of a name, without its port.
+ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\])$"
 MIN_REPUTATION = 0.5
 Z = 1.0
 STRENGTH = (2.0, 1000.0)
@@ -38,12 +41,17 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def suffix_and_domain(host: Column, two_label=TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
-    """Public suffix (last label, or two known ones) and registered domain (one label more) of a host without its port."""
-    labels = F.split(F.regexp_replace(host, r"^.*@|:\d*$", ""), r"\.")
+def suffix_and_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """Public suffix and registered domain (one label more) of a host without user and port.
+
+    The suffix is the last label; the last two where they are in ``suffixes``, or one of SECOND_LABELS and a country's two letters. An address is its own suffix and domain.
+    """
+    name = F.regexp_replace(host, r"^.*@|:\d*$", "")
+    labels = F.split(name, r"\.")
     last = lambda n: F.array_join(F.slice(labels, F.greatest(F.lit(1), F.size(labels) - n + 1), n), ".")
-    two = last(2).isin(*two_label)
-    return F.when(two, last(2)).otherwise(last(1)), F.when(two, last(3)).otherwise(last(2))
+    two = F.rlike(last(2), F.lit(rf"^(?:{'|'.join(SECOND_LABELS)})\.[a-z][a-z]$")) | (last(2).isin(*suffixes) if suffixes else F.lit(False))
+    address = F.rlike(name, F.lit(ADDRESS))
+    return F.when(address, name).when(two, last(2)).otherwise(last(1)), F.when(address, name).when(two, last(3)).otherwise(last(2))
 
 
 def _strength(rates: DataFrame, least: float, most: float) -> float:
@@ -59,7 +67,7 @@ def _strength(rates: DataFrame, least: float, most: float) -> float:
     return most if rho <= 1 / (most + 1) else max(least, 1 / rho - 1)
 
 
-def host_reputation(outcomes: DataFrame, strength: tuple[float, float] = STRENGTH) -> DataFrame:
+def host_reputation(outcomes: DataFrame, strength: tuple[float, float] = STRENGTH, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Posterior of each host from rows (host, good), good true, false or null (a page without label).
 
     Successes of a level are shrunk towards its parent's posterior mean: all pages to suffix to registered
@@ -69,7 +77,7 @@ def host_reputation(outcomes: DataFrame, strength: tuple[float, float] = STRENGT
     Returns host, suffix, domain, n, s, alpha, beta.
     """
     low, high = strength
-    suffix, domain = suffix_and_domain(F.col("host"))
+    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
     good = F.col("good")
     hosts = outcomes.groupBy("host").agg(F.count(good).alias("n"), F.coalesce(F.sum(good.cast("long")), F.lit(0)).alias("s"))
     hosts = written(hosts.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "s"), "url-hosts")
@@ -97,6 +105,7 @@ def filter_urls(
     label_col: str | None = None,
     min_reputation: float = MIN_REPUTATION,
     z: float = Z,
+    suffixes: tuple[str, ...] = SUFFIXES,
 ) -> DataFrame:
     """Judge each page by the longest rule that fits, else by its host's reputation.
 
@@ -118,7 +127,7 @@ def filter_urls(
     if label_col is None:
         rows = rows.withColumn("good", F.col("ruled") == "allow")
     rows = written(rows, "url-rows")
-    known = host_reputation(rows)
+    known = host_reputation(rows, suffixes=suffixes)
     a, b = F.col("alpha"), F.col("beta")
     mean = a / (a + b)
     known = written(known.select(F.col("host").alias("_host"), mean.alias("reputation"), (mean + z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound")), "url-known")
@@ -141,14 +150,15 @@ def _level(name: str, keys: str, parent: str | None) -> str:
 
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-_TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 ORACLE_SQL = rf"""
 WITH rules(v, rh, rp) AS (VALUES {_RULES}),
 t AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM t),
 ruled AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
-labels AS (SELECT host, string_split(regexp_replace(host, '^.*@|:\d*$', '', 'g'), '.') AS l, count(v) AS n, count(CASE WHEN v = 'allow' THEN 1 END) AS s FROM ruled GROUP BY host),
-hosts AS (SELECT host, n, s, CASE WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix, array_to_string(CASE WHEN two THEN l[-3:] ELSE l[-2:] END, '.') AS domain FROM (SELECT *, array_to_string(l[-2:], '.') IN ({_TWO}) AS two FROM labels)),
+names AS (SELECT host, regexp_replace(host, '^.*@|:\d*$', '', 'g') AS name, count(v) AS n, count(CASE WHEN v = 'allow' THEN 1 END) AS s FROM ruled GROUP BY host),
+labels AS (SELECT host, n, s, name, string_split(name, '.') AS l, regexp_matches(name, '{ADDRESS}') AS address FROM names),
+parts AS (SELECT *, regexp_matches(array_to_string(l[-2:], '.'), '^(?:{"|".join(SECOND_LABELS)})\.[a-z][a-z]$') AS two FROM labels),
+hosts AS (SELECT host, n, s, CASE WHEN address THEN name WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix, CASE WHEN address THEN name ELSE array_to_string(CASE WHEN two THEN l[-3:] ELSE l[-2:] END, '.') END AS domain FROM parts),
 {_level("l1", "suffix", None)},
 {_level("l2", "suffix, domain", "(SELECT suffix, m FROM l1)")},
 {_level("l3", "suffix, domain, host", "(SELECT suffix, domain, m FROM l2)")}

@@ -494,6 +494,17 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+HOSTS = {"a.b.co.uk": ("co.uk", "b.co.uk"), "x.com.sg": ("com.sg", "x.com.sg"), "me@www.site.example:80": ("example", "site.example"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "[::1]:8": ("[::1]", "[::1]"), "a.b.github.io": ("io", "github.io"), "com.com": ("com", "com.com"), "": ("", ""), "localhost": ("localhost", "localhost")}
+
+
+def test_suffixes_and_domains(spark):
+    hosts = spark.createDataFrame([(h,) for h in HOSTS], "host string")
+    found = {r.host: (r.s, r.d) for r in hosts.select("host", *(c.alias(n) for c, n in zip(url_filter.suffix_and_domain(F.col("host")), "sd", strict=True))).collect()}
+    assert found == HOSTS
+    rows = url_filter.host_reputation(hosts.withColumn("good", F.lit(True)), suffixes=("github.io",)).collect()
+    assert {r.host: (r.suffix, r.domain) for r in rows} == HOSTS | {"a.b.github.io": ("github.io", "b.github.io")}
+
+
 def test_reputation_blocks_what_is_surely_bad(spark):
     rows = [(f"h{i}.bad.net", False) for i in range(3) for _ in range(40)] + [(f"h{i}.good.net", True) for i in range(3) for _ in range(40)] + [("h9.bad.net", None), ("h9.good.net", None)]
     known = {r.host: r for r in url_filter.host_reputation(spark.createDataFrame(rows, "host string, good boolean")).collect()}
