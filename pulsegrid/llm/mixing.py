@@ -19,30 +19,64 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def sainte_lague(rows: DataFrame, keys: list[str], order: list[str], votes: str, seats: str, out: str) -> DataFrame:
-    """Apportion ``seats`` among the rows of each group of ``keys`` by highest quotients votes / (2 j + 1); ties go by ``order``.
+def beside_totals(rows: DataFrame, keys: list[str], **totals: Column) -> DataFrame:
+    """``rows`` with aggregates over their group of ``keys`` (over all rows without keys), joined back, so that no task holds a group."""
+    sums = rows.groupBy(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys))).agg(*(c.alias(n) for n, c in totals.items()))
+    if not keys:
+        return rows.join(F.broadcast(sums))  # one row
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(sums, on).drop(*(f"_g{i}" for i in range(len(keys))))
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], tag: str, **before: str) -> DataFrame:
+    """``rows`` with their place in ``order`` (from 1) within their group of ``keys`` in _place, and sums over the rows before, named by ``before``.
+
+    Rows are sorted into ranges over all tasks and written; places within a range are counted there, and each range adds
+    the counts of the ranges before it. So a group of any size is spread over tasks; what is ordered in one task is a row for each range.
+    """
+    ordered = rows.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    names = [*keys, *(f"_o{i}" for i in range(len(order)))]
+    ranged = written(ordered.repartitionByRange(*names).withColumn("_range", F.spark_partition_id()), tag)
+    sums = {"_place": F.count("*"), **{n: F.sum(c) for n, c in before.items()}}
+    parts = ranged.groupBy(*keys, "_range").agg(*(c.alias(f"_all{n}") for n, c in sums.items()))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), *(F.coalesce(F.sum(f"_all{n}").over(earlier), F.lit(0)).alias(f"_from{n}") for n in sums))
+    on = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    within = Window.partitionBy(*keys, "_range").orderBy(*names[len(keys) :])
+    above = within.rowsBetween(Window.unboundedPreceding, -1)
+    here = {"_place": F.row_number().over(within), **{n: F.coalesce(F.sum(c).over(above), F.lit(0)) for n, c in before.items()}}
+    out = ranged.withColumns(here).join(parts, on)
+    return out.withColumns({n: F.col(n) + F.col(f"_from{n}") for n in sums}).select(*rows.columns, *sums)
+
+
+def sainte_lague(rows: DataFrame, keys: list[str], order: list[str], votes: str, seats: str, out: str, most: str | None = None) -> DataFrame:
+    """Apportion ``seats`` among the rows of each group of ``keys`` by highest quotients votes / (2 j + 1); ties go by ``order``, which tells rows of a group apart.
 
     Seats that a row surely gets are granted at once: with V votes, S seats and m rows in a group, a row
     with v votes starts at s0 = round(v S / V) and can only move by d = ceil(m v / V) + 2 seats, so only
-    its quotients s0 - d to s0 + d compete. That makes at most about 7 m quotients a group, however many seats there are.
-    Rows without votes get no seat.
+    its quotients s0 - d to s0 + d compete. That makes at most about 7 m quotients a group, however many seats there are; they are
+    numbered over all tasks. Rows without votes get no seat. A row that has as many seats as its column ``most`` says gets no more; the next highest quotients do.
     """
-    w = Window.partitionBy(*keys)
-    v, total = F.col(votes), F.sum(votes).over(w)
-    start = rows.withColumns({"_total": total, "_m": F.count("*").over(w)})
+    v = F.col(votes)
+    limit = F.col(most) if most else F.lit((1 << 62) - 1)
+    start = beside_totals(rows, keys, _total=F.sum(v), _m=F.count("*"))
     start = start.withColumn("_s0", F.when(v > 0, F.floor(v * F.col(seats) / F.col("_total") + 0.5)).otherwise(0).cast("long"))
     start = start.withColumn("_d", F.when(v > 0, F.ceil(F.col("_m") * v / F.col("_total")) + 2).otherwise(0).cast("long"))
-    start = start.withColumn("_lo", F.greatest(F.lit(0), F.col("_s0") - F.col("_d")))
-    start = start.withColumn("_left", F.col(seats) - F.sum("_lo").over(w))
-    cand = start.where(v > 0).withColumn("_j", F.explode(F.sequence("_lo", F.col("_s0") + F.col("_d"))))
-    cand = cand.withColumn("_q", v / (2 * F.col("_j") + 1))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_q"), *order, "_j"))
-    got = cand.withColumn("_won", (rank <= F.col("_left")).cast("long")).groupBy(*keys, *order).agg((F.min("_lo") + F.sum("_won")).alias("_seats"))
-    got = got.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, *order])), "_seats")
-    on = None
-    for i, c in enumerate([*keys, *order]):
-        on = F.col(c).eqNullSafe(F.col(f"_k{i}")) if on is None else on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(got, on, "left").withColumn(out, F.coalesce("_seats", F.lit(0))).drop("_seats", *(f"_k{i}" for i in range(len(keys) + len(order))))
+    start = written(start.withColumn("_lo", F.least(limit, F.greatest(F.lit(0), F.col("_s0") - F.col("_d")))), "seats-start")
+    left = beside_totals(start, keys, _sure=F.sum("_lo")).withColumn("_left", F.col(seats) - F.col("_sure"))
+    cand = left.where((v > 0) & (F.col("_lo") < limit)).withColumn("_j", F.explode(F.sequence("_lo", F.least(limit - 1, F.col("_s0") + F.col("_d")))))
+    cand = cand.withColumn("_q", -(v / (2 * F.col("_j") + 1))).select(*keys, *order, "_j", "_q", "_left")
+    won = numbered(cand, keys, [F.col("_q"), *(F.col(c) for c in order), F.col("_j")], "seats-quotients").where(F.col("_place") <= F.col("_left"))
+    names = [*keys, *order]
+    got = won.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(names))).agg(F.count("*").alias("_won"))
+    on = F.lit(True)
+    for i, c in enumerate(names):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return start.join(got, on, "left").withColumn(out, F.col("_lo") + F.coalesce("_won", F.lit(0))).select(*rows.columns, out)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int) -> DataFrame:
@@ -53,22 +87,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     max_repeats * size / weight, a source is at its stop exactly while all before it are and the level
     that the rest would share reaches it.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
+    name = [F.col("source").isNull(), F.col("source")]
     cycle = F.array(*(F.lit(float(x)) for x in weights))
-    s = sizes.withColumn("weight", F.element_at(cycle, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
+    s = numbered(sizes, [], name, "mix-names").withColumn("weight", F.element_at(cycle, ((F.col("_place") - 1) % len(weights) + 1).cast("int"))).drop("_place")
     s = s.withColumn("cap", (max_repeats * F.col("source_size")).cast("double"))
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source"))
-    before, everything = rising.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    s = s.withColumns(
-        {
-            "place": F.row_number().over(rising),
-            "level": (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))),
-        }
-    )
+    s = numbered(s, [], [F.col("cap") / F.col("weight"), *name], "mix-rising", caps="cap", weights="weight")
+    s = written(beside_totals(s, [], all_size=F.sum("source_size"), all_weight=F.sum("weight")), "mix-levels")
+    s = s.withColumn("level", (F.col("all_size") - F.col("caps")) / (F.col("all_weight") - F.col("weights")))
     open_ = F.col("cap") > F.col("weight") * F.col("level")
-    first = F.min(F.when(open_, F.col("place"))).over(everything)
-    level = F.min(F.when(open_, F.struct("place", "level"))).over(everything)["level"]
-    target = F.when(first.isNull() | (F.col("place") < first), F.col("cap")).otherwise(F.col("weight") * level)
+    s = beside_totals(s, [], first=F.min(F.when(open_, F.struct("_place", "level"))))
+    target = F.when(F.col("first").isNull() | (F.col("_place") < F.col("first._place")), F.col("cap")).otherwise(F.col("weight") * F.col("first.level"))
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
@@ -86,7 +114,7 @@ def mix_sources(
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
-    A source's documents are dealt by a seeded hash of the id to shards of about ``shard_words`` words, so a
+    A source's documents are dealt by a seeded hash of id and text to shards of about ``shard_words`` words, so a
     hot source has many. In a shard they stand in seeded order, and their words in a row are cut into blocks of
     equally many words, near ``block_words``. Sainte-Laguë apportionment gives sources, and within each its
     shards, integer numbers of blocks. A shard with n blocks and a quota q takes every block q div n times, and
@@ -94,28 +122,29 @@ def mix_sources(
     ``first_word`` to ``last_word`` (0-based, end exclusive, and a second run when the circle closes within a document)
     say which words of the document are in that run.
 
-    Nulls: a null text has no words; null sources are one source, last in order; null ids hash alike and keep
-    their order by row. Empty texts take 0. Repeated rows are separate documents. Ties in the seeded order go
+    Nulls: a null text has no words; null sources are one source, last in order; null and repeated ids are told apart by text,
+    rows alike in both keep their order by row. Empty texts take 0. Repeated rows are separate documents. Ties in the seeded order go
     by id, then row. An empty table gives an empty result. Other columns are ignored; those of ``keep`` go through.
 
     Returns doc_id, size, source_size, target, taken, passes, first_word, last_word, first_word2, last_word2, *keep.
     """
-    base = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *(F.col(c).alias(f"keep_{c}") for c in keep)), "mix-sizes")
+    base = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("seeded"), *(F.col(c).alias(f"keep_{c}") for c in keep)), "mix-sizes")
     targets = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "mix-targets")
     named = targets.withColumnsRenamed({"source": "_source"}).withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.col("seeded")
     rows = base.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight").withColumn("shard", F.pmod(key, F.col("n_shards")))
     shards = rows.where("size > 0").groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     shards = shards.withColumn("blocks", F.ceil(F.col("words") / block_words))
     shards = written(shards, "mix-shards")
     per_source = shards.groupBy("source", "target", "source_size").agg(F.sum("blocks").alias("all_blocks"))
     per_source = per_source.withColumn("votes", F.col("target") * F.col("all_blocks") / F.col("source_size"))
-    per_source = written(per_source.withColumn("seats", F.round(F.sum("votes").over(Window.partitionBy())).cast("long")), "mix-votes")
-    quota = sainte_lague(per_source, [], ["source"], "votes", "seats", "source_blocks")
-    quota = quota.select(F.col("source").alias("_source"), F.least("source_blocks", max_repeats * F.col("all_blocks")).alias("source_blocks"))
-    shards = shards.join(quota, F.col("source").eqNullSafe(F.col("_source"))).select("source", "shard", "words", "blocks", "source_blocks")
-    shards = sainte_lague(shards, ["source"], ["shard"], "words", "source_blocks", "quota")
-    q, n, words = F.least("quota", max_repeats * F.col("blocks")), F.col("blocks"), F.col("words")
+    per_source = per_source.withColumn("most", max_repeats * F.col("all_blocks"))
+    per_source = written(beside_totals(per_source, [], seats=F.round(F.sum("votes")).cast("long")), "mix-votes")
+    quota = sainte_lague(per_source, [], ["source"], "votes", "seats", "source_blocks", "most")
+    quota = quota.select(F.col("source").alias("_source"), "source_blocks")
+    shards = shards.join(quota, F.col("source").eqNullSafe(F.col("_source"))).select("source", "shard", "words", "blocks", "source_blocks", (max_repeats * F.col("blocks")).alias("most"))
+    shards = sainte_lague(shards, ["source"], ["shard"], "words", "source_blocks", "quota", "most")
+    q, n, words = F.col("quota"), F.col("blocks"), F.col("words")
     begin = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source", "shard"), n)
     edge = lambda b: F.floor(b * words / n)
     shards = shards.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "words", F.floor(q / n).alias("passes"), edge(begin).alias("run_from"), (F.when(begin + q % n >= n, words + edge(begin + q % n - n)).otherwise(edge(begin + q % n))).alias("run_to"))

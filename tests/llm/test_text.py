@@ -544,6 +544,42 @@ def test_mix(spark):
     assert mixing.mix_sources(fx.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shard_words", [300, 5000])
+def test_mix_of_many_shards(spark, shard_words):
+    docs = fx.unique_documents(spark)
+    rows = mixing.mix_sources(docs, keep=("source",), block_words=16, shard_words=shard_words).toPandas()
+    sizes = rows.groupby("source")["size"].sum().to_dict()
+    want = filled(sizes, mixing.WEIGHTS, 3)
+    for source, g in rows.groupby("source"):
+        assert g["taken"].sum() == pytest.approx(want[source], rel=0.1, abs=100)
+    assert (rows["taken"] <= 3 * rows["size"]).all() and rows["taken"].sum() == pytest.approx(rows["size"].sum(), rel=0.05)
+    again = mixing.mix_sources(docs.repartition(5), keep=("source",), block_words=16, shard_words=shard_words).toPandas()
+    assert rows.sort_values("doc_id")["taken"].tolist() == again.sort_values("doc_id")["taken"].tolist()
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_numbered_over_ranges(spark, ranges):
+    rng = np.random.default_rng(3)
+    data = [(int(rng.integers(0, 3)) or None, int(rng.integers(0, 9)), i) for i in range(200)]
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        rows = spark.createDataFrame(data, "k int, x int, i int")
+        got = {r.i: (r._place, r.s) for r in mixing.numbered(rows, ["k"], [F.col("x"), F.col("i")], "test", s="x").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for k in (None, 1, 2):
+        group, total = sorted((x, i) for g, x, i in data if g == k), 0
+        for place, (x, i) in enumerate(group, 1):
+            assert got[i] == (place, total)
+            total += x
+
+
+def test_sainte_lague_gives_to_others_what_a_row_may_not_have(spark):
+    rows = spark.createDataFrame([(0, 50.0, 10, 3), (1, 30.0, 10, 20), (2, 20.0, 10, 20)], "k int, v double, seats long, most long")
+    out = {r.k: r.won for r in mixing.sainte_lague(rows, [], ["k"], "v", "seats", "won", "most").collect()}
+    assert out == {0: 3, 1: 4, 2: 3}
+
+
 def test_mix_reruns_agree(spark):
     docs = fx.unique_documents(spark)
     one, two = (mixing.mix_sources(x).toPandas().sort_values("doc_id").reset_index(drop=True) for x in (docs, docs.repartition(7)))
