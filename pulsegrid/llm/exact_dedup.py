@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, table, without_chars, written
+from .common import SPACE_CHARS, discard, numbered, table, without_chars, written
 
 BLOCK_BYTES = 8192
 
@@ -17,9 +17,14 @@ def _two_hashes(block: Column) -> tuple[Column, Column]:
 
 
 def _named(pairs: DataFrame, keys: list[str], keep: list[str], tag: str) -> DataFrame:
-    """Distinct rows of ``keys`` with an integer name each: hash-partitioned, sorted, numbered by partition and place."""
-    sorted_rows = pairs.select(*keys).distinct().sortWithinPartitions(*keys)
-    return written(sorted_rows.select(*keep, F.monotonically_increasing_id().alias("name")), tag)
+    """Distinct rows of ``keys``, cut to ``keep``, with an integer name each: their place in the order of ``keep``, whatever the partitions.
+
+    Rows are made distinct before they are sorted into ranges, so equal ones, however many, meet after map-side aggregation.
+    """
+    distinct = written(pairs.select(*keys).distinct().select(*keep), f"{tag}-distinct")
+    named = written(numbered(distinct, [], [F.col(k) for k in keep], f"{tag}-ranges").withColumnRenamed("_place", "name"), tag)
+    discard(distinct)
+    return named
 
 
 def exact_dedup(
@@ -31,8 +36,8 @@ def exact_dedup(
 ) -> DataFrame:
     """Find rows whose texts are equal once all white space is deleted.
 
-    Each normalised text is cut into blocks of ``block_bytes`` UTF-8 bytes. Distinct blocks are sorted and
-    named by integers; then adjacent names are paired, distinct pairs are named, and so on until each
+    Each normalised text is cut into blocks of ``block_bytes`` UTF-8 bytes. Distinct blocks are sorted by fingerprint and
+    named by their places, the same in every run; then adjacent names are paired, distinct pairs are named, and so on until each
     document has one name. (number of blocks, last name) is the document's identity: two documents share
     it exactly when their texts are equal. Block texts cross the network once, after map-side
     deduplication; names go back to their documents by a 128-bit fingerprint whose uniqueness over all
@@ -71,6 +76,7 @@ def exact_dedup(
     rows = rows.join(names, keys).select("rid", "doc_id", "n_chars", "n", "pos", "name")
     done = [base.where(size == 0).select("rid", "doc_id", "n_chars", F.lit(0).alias("n"), F.lit(-1).cast("long").alias("name"))]
     rows = written(rows, "names-0")
+    discard(names)
     done.append(rows.where("n = 1").drop("pos"))
     most = rows.agg(F.max("n")).first()[0] or 0
     level = 1
@@ -82,8 +88,9 @@ def exact_dedup(
             .agg(F.max(F.when(half == 0, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(half == 1, F.col("name"))), F.lit(-1)).alias("r"))
         )
         pairs = written(pairs, f"pairs-{level}")
-        rows = pairs.join(_named(pairs, ["l", "r"], ["l", "r"], f"pair-names-{level}"), ["l", "r"]).select("rid", "doc_id", "n_chars", "n", "pos", "name")
-        rows = written(rows, f"names-{level}")
+        names = _named(pairs, ["l", "r"], ["l", "r"], f"pair-names-{level}")
+        rows = written(pairs.join(names, ["l", "r"]).select("rid", "doc_id", "n_chars", "n", "pos", "name"), f"names-{level}")
+        discard(pairs, names)
         done.append(rows.where((F.col("n") > 2 ** (level - 1)) & (F.col("n") <= 2**level)).drop("pos"))
         level += 1
     ids = done[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blank_spaced, keyed, table, written
+from .common import blank_spaced, keyed, numbered, table, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -30,29 +30,6 @@ def beside_totals(rows: DataFrame, keys: list[str], **totals: Column) -> DataFra
     return rows.join(sums, on).drop(*(f"_g{i}" for i in range(len(keys))))
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[Column], tag: str, **before: str) -> DataFrame:
-    """``rows`` with their place in ``order`` (from 1) within their group of ``keys`` in _place, and sums over the rows before, named by ``before``.
-
-    Rows are sorted into ranges over all tasks and written; places within a range are counted there, and each range adds
-    the counts of the ranges before it. So a group of any size is spread over tasks; what is ordered in one task is a row for each range.
-    """
-    ordered = rows.withColumns({f"_o{i}": c for i, c in enumerate(order)})
-    names = [*keys, *(f"_o{i}" for i in range(len(order)))]
-    ranged = written(ordered.repartitionByRange(*names).withColumn("_range", F.spark_partition_id()), tag)
-    sums = {"_place": F.count("*"), **{n: F.sum(c) for n, c in before.items()}}
-    parts = ranged.groupBy(*keys, "_range").agg(*(c.alias(f"_all{n}") for n, c in sums.items()))
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), *(F.coalesce(F.sum(f"_all{n}").over(earlier), F.lit(0)).alias(f"_from{n}") for n in sums))
-    on = F.col("_range") == F.col("_r")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_g{i}"))
-    within = Window.partitionBy(*keys, "_range").orderBy(*names[len(keys) :])
-    above = within.rowsBetween(Window.unboundedPreceding, -1)
-    here = {"_place": F.row_number().over(within), **{n: F.coalesce(F.sum(c).over(above), F.lit(0)) for n, c in before.items()}}
-    out = ranged.withColumns(here).join(parts, on)
-    return out.withColumns({n: F.col(n) + F.col(f"_from{n}") for n in sums}).select(*rows.columns, *sums)
-
-
 def sainte_lague(rows: DataFrame, keys: list[str], order: list[str], votes: str, seats: str, out: str, most: str | None = None) -> DataFrame:
     """Apportion ``seats`` among the rows of each group of ``keys`` by highest quotients votes / (2 j + 1); ties go by ``order``, which tells rows of a group apart.
 

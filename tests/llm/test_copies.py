@@ -33,6 +33,16 @@ def test_exact(spark, block_bytes, fingerprint):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_exact_names_do_not_depend_on_partitions(spark):
+    names = []
+    for parts in (1, 5):
+        blocks = spark.createDataFrame([(f"b{i * i % 37}",) for i in range(100)], "block string").repartition(parts)
+        h1, h2 = exact_dedup._two_hashes(F.col("block"))
+        found = exact_dedup._named(blocks.select(h1.alias("h1"), h2.alias("h2"), "block"), ["h1", "h2", "block"], ["h1", "h2"], "test").collect()
+        names.append({(r.h1, r.h2): r["name"] for r in found})
+    assert names[0] == names[1] and sorted(names[0].values()) == list(range(1, len(names[0]) + 1))
+
+
 def test_exact_sql(spark, duck, sf_dir):
     got = exact_dedup.op4_exact_dedup(spark, sf_dir).toPandas()
     want = duck.execute(exact_dedup.ORACLE_SQL).df()

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import compression_classifier, html_extract, mixing, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
+from pulsegrid.llm import common, compression_classifier, html_extract, mixing, quality_rules, secret_scan, sentence_pieces, token_counts, url_filter
 
 from . import fixtures as fx
 
@@ -564,7 +564,7 @@ def test_numbered_over_ranges(spark, ranges):
     spark.conf.set("spark.sql.shuffle.partitions", ranges)
     try:
         rows = spark.createDataFrame(data, "k int, x int, i int")
-        got = {r.i: (r._place, r.s) for r in mixing.numbered(rows, ["k"], [F.col("x"), F.col("i")], "test", s="x").collect()}
+        got = {r.i: (r._place, r.s) for r in common.numbered(rows, ["k"], [F.col("x"), F.col("i")], "test", s="x").collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     for k in (None, 1, 2):
