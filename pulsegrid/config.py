@@ -13,7 +13,7 @@ NB_KAPPA, NB_SIZE = 0.395, 6.0
 MIN_LAG, MAX_LAG, LAG_MASS = 2, 50, 0.995
 
 #: Accepted spellings and what they stand for.
-LAGS = {"lognorm": "lognorm", "koyama": "lognorm", "nbinom": "nbinom", "nbinomp": "nbinom", "solow": "nbinom", "uniform": "uniform", "flat": "uniform", "identity": "uniform"}
+LAGS = {"lognorm": "lognorm", "koyama": "lognorm", "gamma": "gamma", "nbinomm": "nbinomm", "nbinom": "nbinom", "nbinomp": "nbinom", "solow": "nbinom", "uniform": "uniform", "flat": "uniform", "identity": "uniform"}
 OBSERVATIONS = {"nbinom": "nbinomm", "nbinomm": "nbinomm", "nbinomp": "nbinomp", "poisson": "poisson", "gaussian": "gaussian", "normal": "gaussian"}
 ERRORS = {"gaussian": "gaussian", "normal": "gaussian", "constant": "constant"}
 GAINS = {"ramp": "ramp", "exponential": "exponential", "identity": "identity", "softplus": "softplus", "logistic": "logistic"}

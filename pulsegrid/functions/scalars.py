@@ -145,6 +145,27 @@ def yeo_johnson_gamma_slope(theta: Column, gamma: Column | float) -> Column:
     return F.when(g < EPS8, size * size / 2).otherwise((g * size * F.exp(g * size) - F.expm1(g * size)) / (g * g))
 
 
+def yeo_johnson_curvature(theta: Column, gamma: Column | float) -> Column:
+    """Second derivative in theta; 0 side from above."""
+    g = _side(theta, gamma)
+    return F.when(theta < 0, -1.0).otherwise(1.0) * (g - 1) * F.exp((g - 2) * F.log1p(F.abs(theta)))
+
+
+def yeo_johnson_slope_gamma_slope(theta: Column, gamma: Column | float) -> Column:
+    """Derivative of the slope in gamma: for theta < 0 the side's exponent falls with gamma."""
+    return F.signum(theta) * F.log1p(F.abs(theta)) * yeo_johnson_slope(theta, gamma)
+
+
+def yeo_johnson_inverse_slope(nu: Column, gamma: Column | float) -> Column:
+    """Derivative of the inverse in nu."""
+    g = _side(nu, gamma)
+    return F.when(g < EPS8, F.exp(F.abs(nu))).otherwise(F.exp((1 / g - 1) * F.log1p(F.abs(g * nu))))
+
+
+def gamma_to_tau_slope(gamma: Column) -> Column:
+    return 2 / (gamma * (2 - gamma))
+
+
 def gamma_to_tau(gamma: Column) -> Column:
     return F.log(gamma) - F.log(2 - gamma)
 
@@ -201,6 +222,20 @@ def gamma_moments(shape: Column, rate: Column) -> dict[str, Column]:
     return {"mean": shape / rate, "var": shape / (rate * rate), "mode": F.when(shape >= 1, (shape - 1) / rate).otherwise(0.0)}
 
 
+def poisson_moments(rate: Column) -> dict[str, Column]:
+    return {"mean": rate, "var": rate, "mode": F.floor(rate).cast("double")}
+
+
+def nbinom_mean_moments(mean: Column, size: Column) -> dict[str, Column]:
+    """By mean and size; the mode is 0 up to size 1."""
+    return {"mean": mean, "var": nb_variance(mean, size), "mode": F.when(size > 1, F.floor(mean * (size - 1) / size).cast("double")).otherwise(0.0)}
+
+
+def nbinom_chance_moments(chance: Column, size: Column) -> dict[str, Column]:
+    """By the chance of a step and size."""
+    return nbinom_mean_moments(size * chance / (1 - chance), size)
+
+
 def lognorm_to_serial(mu: Column, sd2: Column) -> tuple[Column, Column]:
     """Mean and variance of a lognormal."""
     return F.exp(mu + sd2 / 2), F.expm1(sd2) * F.exp(2 * mu + sd2)
@@ -221,6 +256,8 @@ def loglik_slope(y: Column, lam: Column, observation: str, par2: float = 1.0) ->
             return y / lam - 1
         case "nbinomm":
             return y / lam - (y + par2) / (lam + par2)
+        case "nbinomp":
+            return y / lam - par2 / (1 - lam)
         case "gaussian":
             return (y - lam) / par2
     raise ValueError(f"no slope for {observation!r}")

@@ -1,4 +1,4 @@
-"""Special functions: lag kernels on the driver (at most 50 rows), and log-gamma and its slopes on data by Arrow batches."""
+"""Special functions: lag kernels on the driver (at most 50 rows), and log-gamma and digamma on data as expressions."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..config import LAG_MASS, LAGS, MAX_LAG, MIN_LAG, OBSERVATIONS, LagSpec, known
 
@@ -58,6 +56,11 @@ def gamma_pmf(n: int, shape: float, rate: float) -> np.ndarray:
     return np.diff([gamma_cdf(d, shape, rate) for d in range(n + 1)])
 
 
+def _kappa(spec: LagSpec, name: str) -> float:
+    """Chance of a step: par1, or for nbinomm that of the mean par1 at size par2."""
+    return spec.par1 if name == "nbinom" else spec.par1 / (spec.par1 + spec.par2)
+
+
 def lag_length(spec: LagSpec) -> int:
     """Lags that hold LAG_MASS of the mass, within [MIN_LAG, MAX_LAG]; an autoregression's order is par1."""
     if spec.n is not None:
@@ -65,8 +68,10 @@ def lag_length(spec: LagSpec) -> int:
     match known(spec.name, LAGS, "lag"):
         case "lognorm":
             n = int(math.exp(NormalDist(spec.par1, math.sqrt(spec.par2)).inv_cdf(LAG_MASS)))
-        case "nbinom":
-            n = int(np.searchsorted(np.cumsum(nbinom_pmf(MAX_LAG + 1, spec.par1, spec.par2)), LAG_MASS))
+        case "gamma":
+            n = int(np.searchsorted(np.cumsum(gamma_pmf(MAX_LAG + 1, spec.par1, spec.par2)), LAG_MASS)) + 1
+        case "nbinom" | "nbinomm" as name:
+            n = int(np.searchsorted(np.cumsum(nbinom_pmf(MAX_LAG + 1, _kappa(spec, name), spec.par2)), LAG_MASS))
         case _:
             n = int(spec.par1)
     return min(max(n, MIN_LAG), MAX_LAG)
@@ -77,8 +82,10 @@ def lag_weights(spec: LagSpec = LagSpec()) -> np.ndarray:
     match known(spec.name, LAGS, "lag"):
         case "lognorm":
             phi = lognorm_pmf(n, spec.par1, spec.par2)
-        case "nbinom":
-            phi = nbinom_pmf(n, spec.par1, spec.par2)
+        case "gamma":
+            phi = gamma_pmf(n, spec.par1, spec.par2)
+        case "nbinom" | "nbinomm" as name:
+            phi = nbinom_pmf(n, _kappa(spec, name), spec.par2)
         case _:
             phi = np.ones(n)
     return phi / phi.sum() if spec.rescale else phi
@@ -93,7 +100,7 @@ def lag_table(spark: SparkSession, spec: LagSpec = LagSpec()) -> DataFrame:
 
 
 def lag_gradient(spec: LagSpec) -> np.ndarray:
-    """Slopes of the weights: by (mu, log sd2) for lognorm, by (logit kappa,) for nbinom, zeros for uniform."""
+    """Slopes of the weights: by (mu, log sd2) for lognorm, by (logit kappa,) for nbinom and nbinomm, zeros for uniform; the gamma kernel has none."""
     n = lag_length(spec)
     match known(spec.name, LAGS, "lag"):
         case "lognorm":
@@ -103,8 +110,10 @@ def lag_gradient(spec: LagSpec) -> np.ndarray:
             by_mu = -density / sd
             by_log_var = -0.5 * np.where(np.isfinite(z), z, 0.0) * density
             return np.column_stack([np.diff(by_mu), np.diff(by_log_var)])
-        case "nbinom":
-            y, k = np.arange(n), spec.par1
+        case "gamma":
+            raise ValueError("the gamma lag kernel has no slopes")
+        case "nbinom" | "nbinomm" as name:
+            y, k = np.arange(n), _kappa(spec, name)
             return (lag_weights(spec) * (y * (1 - k) - spec.par2 * k))[:, None]
     return np.zeros((n, 1))
 
@@ -146,14 +155,27 @@ def log_gamma(x: Column) -> Column:
     return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.log(t) - t + F.log(series)
 
 
-@F.pandas_udf(DoubleType())
-def digamma_of(x: pd.Series) -> pd.Series:
-    return x.map(digamma)
+def digamma_of(x: Column) -> Column:
+    """digamma(x) for x > 0 as an expression: eight steps of the recurrence, then the asymptotic series; error about 1e-13."""
+    steps = F.lit(0.0)
+    for k in range(8):
+        steps = steps + 1 / (x + k)
+    z = x + 8
+    i = 1 / (z * z)
+    return F.log(z) - 0.5 / z - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132)))) - steps
 
 
-@F.pandas_udf(DoubleType())
-def erf_of(x: pd.Series) -> pd.Series:
-    return x.map(math.erf)
+def loglik_size_slope(y: Column, lam: Column, observation: str, par2: float = 1.0) -> Column:
+    """d log p / d par2: the size of both negative binomials, the variance of the gaussian; 0 for poisson."""
+    size = F.lit(float(par2))
+    match known(observation, OBSERVATIONS, "observation"):
+        case "poisson":
+            return F.lit(0.0)
+        case "nbinomm":
+            return digamma_of(y + size) - digamma(par2) + F.log(size / (lam + size)) + 1 - (y + size) / (lam + size)
+        case "nbinomp":
+            return digamma_of(y + size) - digamma(par2) + F.log(1 - lam)
+    return -0.5 / size + (y - lam) ** 2 / (2 * size * size)
 
 
 def loglik(y: Column, lam: Column, observation: str, par2: float = 1.0) -> Column:

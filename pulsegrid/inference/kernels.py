@@ -39,6 +39,8 @@ def gain_inverse(h: np.ndarray, name: str = "softplus") -> np.ndarray:
             return np.log(np.abs(h) + EPS)
         case "softplus":
             return np.log(np.expm1(np.maximum(h, 1e-8)))
+        case "logistic":
+            raise ValueError("the logistic gain is not defined")
     return h
 
 
@@ -62,15 +64,22 @@ def observe(rng: np.random.Generator, lam: np.ndarray, observation: str, size: f
     return rng.normal(lam, math.sqrt(size))
 
 
+def _log_gamma_of_counts(y: np.ndarray, size: float) -> np.ndarray:
+    """log gamma(y + size), once for each count that occurs."""
+    counts, place = np.unique(y, return_inverse=True)
+    return np.array([math.lgamma(c + size) for c in counts])[place].reshape(np.shape(y))
+
+
 def log_density(y: np.ndarray, lam: np.ndarray, observation: str, size: float) -> np.ndarray:
-    """Without the terms that depend on y alone, but for the gaussian."""
+    """Without the terms that depend on y alone, but for the gaussian. Of nbinomp, lam is the chance of a step."""
     lam = np.maximum(lam, EPS)
     match known(observation, OBSERVATIONS, "observation"):
         case "poisson":
             return y * np.log(lam) - lam
+        case "nbinomp":
+            return _log_gamma_of_counts(y, size) - math.lgamma(size) + y * np.log(lam) + size * np.log1p(-lam)
         case "nbinomm":
-            lg = np.vectorize(math.lgamma)
-            return lg(y + size) - math.lgamma(size) + size * (np.log(size) - np.log(lam + size)) + y * (np.log(lam) - np.log(lam + size))
+            return _log_gamma_of_counts(y, size) - math.lgamma(size) + size * (np.log(size) - np.log(lam + size)) + y * (np.log(lam) - np.log(lam + size))
     return -0.5 * np.log(2 * np.pi * size) - (y - lam) ** 2 / (2 * size)
 
 
@@ -81,6 +90,8 @@ def log_density_slope(y: np.ndarray, lam: np.ndarray, observation: str, size: fl
             return y / lam - 1
         case "nbinomm":
             return y / lam - (y + size) / (lam + size)
+        case "nbinomp":
+            return y / lam - size / (1 - lam)
     return (y - lam) / size
 
 

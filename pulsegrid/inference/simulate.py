@@ -6,14 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import EPS
-from .kernels import band, gain, observe
+from ..config import EPS, ERRORS, known
+from .kernels import gain, observe
 
 
 def random_walk(rng: np.random.Generator, n: int, var: float, error: str = "gaussian", cols: int | None = None) -> np.ndarray:
     """Disturbances with w_0 = 0; zeros where the variance is below EPS or the error is constant."""
     shape = (n,) if cols is None else (n, cols)
-    w = np.zeros(shape) if error == "constant" or var < EPS else rng.normal(0, np.sqrt(var), shape)
+    w = np.zeros(shape) if known(error, ERRORS, "error") == "constant" or var < EPS else rng.normal(0, np.sqrt(var), shape)
     w[0] = 0
     return w
 
@@ -99,7 +99,3 @@ def long_panel(y: np.ndarray, **more: np.ndarray) -> pd.DataFrame:
     n, ns = y.shape
     out = {"s": np.tile(np.arange(ns, dtype=np.int32), n), "t": np.repeat(np.arange(n, dtype=np.int32), ns), "y": y.ravel()}
     return pd.DataFrame(out | {k: v.ravel() for k, v in more.items()})
-
-
-def matrix(phi: np.ndarray, n: int) -> np.ndarray:
-    return band(phi, n)

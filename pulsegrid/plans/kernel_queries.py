@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..config import LagSpec
 from ..functions.special import lag_weights
 from ..inference import filters, models, predict, simulate, spatial, spectral
-from ..operators import network
 from . import fixtures as fx
 from .fixtures import MONTHS, PHI
 
@@ -206,22 +205,12 @@ def forecast_network(spark: SparkSession, d: str) -> DataFrame:
     return predict.forecast(fx.panel(spark, d), fx.rt_draws(spark, d), fx.alpha_draws(spark, d), PHI, 0.5, 6, 0.01)
 
 
-def lattice_edges(spark: SparkSession, d: str) -> DataFrame:
-    return network.lattice(spark, 10, 10)
-
-
-def horseshoe_alpha_uniform(spark: SparkSession, d: str) -> DataFrame:
-    """Draws whose off-diagonal weights vanish: uniform columns instead of the identity's."""
-    gone = fx.theta_draws(spark, d).where("sample = 1").withColumn("theta", F.lit(0.0))
-    return network.horseshoe_alpha(gone, F.lit(0.4), keys=["sample"], uniform_if_empty=True)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         spectral_radius, spectral_radius_quantiles, spectral_sensitivity, bym2_scale, bym2_fit, car_draw, car_rho_posterior,
         simulate_temporal, simulate_iterative, simulate_panel, simulate_network, simulate_secondary, zero_inflation_chain,
         lba_filter, zero_inflation_filter, polya_gamma_states, hmc_chain, infer_network, infer_panel,
-        posterior_predictive, forecast_network, lattice_edges, horseshoe_alpha_uniform,
+        posterior_predictive, forecast_network,
     )
 }

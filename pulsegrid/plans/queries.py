@@ -486,6 +486,64 @@ def lag_kernel(spark, d):
     return special.lag_table(spark, LagSpec())
 
 
+_NBINOM = "exp(lgamma({r} + d - 1) - lgamma({r}) - lgamma(d) + (d - 1) * ln({k}) + {r} * ln(1 - {k}))"
+
+
+@query("d phi*", sql=f"SELECT d::INTEGER AS d, {_NBINOM.format(r='6.0::DOUBLE', k='0.395::DOUBLE')} AS phi FROM range(1, 21) x(d)")
+def lag_kernel_nbinom(spark, d):
+    return special.lag_table(spark, LagSpec("nbinom", 0.395, 6.0, n=20))
+
+
+@query("d phi*", sql=f"SELECT d::INTEGER AS d, {_NBINOM.format(r='6.0::DOUBLE', k='(4.0::DOUBLE / 10.0)')} AS phi FROM range(1, 21) x(d)")
+def lag_kernel_nbinom_mean(spark, d):
+    return special.lag_table(spark, LagSpec("nbinomm", 4.0, 6.0, n=20))
+
+
+@query("d phi*", sql="SELECT d::INTEGER AS d, exp(-0.5 * (d - 1)) * (1 + 0.5 * (d - 1)) - exp(-0.5 * d) * (1 + 0.5 * d) AS phi FROM range(1, 21) x(d)")
+def lag_kernel_gamma(spark, d):
+    """Shape 2, where the distribution has a closed form."""
+    return special.lag_table(spark, LagSpec("gamma", 2.0, 0.5, n=20))
+
+
+@query("dst src v*", sql="WITH c AS (SELECT i, j FROM range(10) a(i), range(10) b(j)) SELECT (x.i * 10 + x.j)::INTEGER AS dst, (y.i * 10 + y.j)::INTEGER AS src, 1.0::DOUBLE AS v FROM c x JOIN c y ON abs(x.i - y.i) + abs(x.j - y.j) = 1")
+def lattice_edges(spark, d):
+    return network.lattice(spark, 10, 10)
+
+
+@query("sample dst src alpha*", "pairs", "SELECT 1::INTEGER AS sample, dst, src, CASE WHEN dst = src THEN 0.4 ELSE 0.6 / (count(*) OVER (PARTITION BY src) - 1) END::DOUBLE AS alpha FROM pairs")
+def horseshoe_alpha_uniform(spark, d):
+    """Draws whose off-diagonal weights are alike: uniform columns."""
+    gone = fx.theta_draws(spark, d).where("sample = 1").withColumn("theta", F.lit(0.0))
+    return network.horseshoe_alpha(gone, F.lit(0.4), keys=["sample"], uniform_if_empty=True)
+
+
+@query("s t mean* var* mode* pmean* pvar* pmode*", "panel", "SELECT s, t, y AS mean, y * (1 + y / 4) AS var, floor(y * 3 / 4) AS mode, 4 * p / (1 - p) AS pmean, 4 * p / (1 - p) * (1 + p / (1 - p)) AS pvar, floor(4 * p / (1 - p) * 3 / 4) AS pmode FROM (SELECT s, t, y, (1 + y) / (5 + y) AS p FROM panel)")
+def count_moments(spark, d):
+    y = F.col("y")
+    by_mean, by_chance = fs.nbinom_mean_moments(y, F.lit(4.0)), fs.nbinom_chance_moments((1 + y) / (5 + y), F.lit(4.0))
+    return fx.panel(spark, d).select("s", "t", *(c.alias(n) for n, c in by_mean.items()), *(c.alias(f"p{n}") for n, c in by_chance.items()))
+
+
+@query("s t poisson* gaussian* prob*", "panel", "SELECT s, t, 0.0::DOUBLE AS poisson, -0.125 + (y - 3) * (y - 3) / 32 AS gaussian, y / 0.4 - 4 / 0.6::DOUBLE AS prob FROM panel")
+def loglik_slopes(spark, d):
+    y = F.col("y")
+    slopes = {"poisson": special.loglik_size_slope(y, F.lit(3.0), "poisson"), "gaussian": special.loglik_size_slope(y, F.lit(3.0), "gaussian", 4.0), "prob": fs.loglik_slope(y, F.lit(0.4), "nbinomp", 4.0)}
+    return fx.panel(spark, d).select("s", "t", *(c.alias(n) for n, c in slopes.items()))
+
+
+@query("s t size*", "panel", "SELECT s, t, (SELECT coalesce(sum(1 / (4.0 + k)), 0) FROM range(500) r(k) WHERE k < y) + ln(4 / (y / 2 + 5)) + 1 - (y + 4) / (y / 2 + 5) AS size FROM panel")
+def loglik_size_slope_nbinom(spark, d):
+    """digamma(y + 4) - digamma(4) is a sum of y reciprocals."""
+    return fx.panel(spark, d).select("s", "t", special.loglik_size_slope(F.col("y"), F.col("y") / 2 + 1, "nbinomm", 4.0).alias("size"))
+
+
+@query("s t curvature* mixed* inverse* tau*", "panel", "SELECT s, t, CASE WHEN x < 0 THEN -1 ELSE 1 END * (g - 1) * power(1 + abs(x), g - 2) AS curvature, sign(x) * ln(1 + abs(x)) * power(1 + abs(x), g - 1) AS mixed, power(1 + g * abs(x), 1 / g - 1) AS inverse, 2 / (1.5 * 0.5)::DOUBLE AS tau FROM (SELECT s, t, (y - 4) / 4 AS x, CASE WHEN y < 4 THEN 0.5 ELSE 1.5 END::DOUBLE AS g FROM panel)")
+def yeo_johnson_derivatives(spark, d):
+    x = (F.col("y") - 4) / 4
+    columns = {"curvature": fs.yeo_johnson_curvature(x, 1.5), "mixed": fs.yeo_johnson_slope_gamma_slope(x, 1.5), "inverse": fs.yeo_johnson_inverse_slope(x, 1.5), "tau": fs.gamma_to_tau_slope(F.lit(1.5))}
+    return fx.panel(spark, d).select("s", "t", *(c.alias(n) for n, c in columns.items()))
+
+
 @query("param chain ess*")
 def ess(spark, d):
     return metrics.ess(fx.chains(spark, d), ["param", "chain"])
