@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from ..config import EPS
+from ..config import EPS, OBSERVATIONS, known
 from .kernels import gain, gain_slope
 
 
@@ -16,6 +16,9 @@ def linear_bayes(y: np.ndarray, phi: np.ndarray, var: float, mu0: float = 0.0, s
     The conjugate (alpha, beta) of the observation are matched to the forecast's mean and variance. ``discount`` instead of ``var`` inflates
     the first element's variance alone, so lagged elements keep theirs.
     """
+    observation = known(observation, OBSERVATIONS, "observation")
+    if observation == "nbinomp":
+        raise ValueError("the linear-Bayes filter has no nbinomp form")
     n, width = len(y), len(phi)
     m, c = np.zeros(width), np.eye(width)
     g = np.eye(width, k=-1)

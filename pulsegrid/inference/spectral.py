@@ -1,4 +1,4 @@
-"""Branching matrices by (sample, t): spectral radius and its sensitivities, one small Arrow group each."""
+"""Branching matrices by (sample, t): spectral radius and its sensitivities, one Arrow group a draw."""
 
 from __future__ import annotations
 
@@ -8,15 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, at = np.unique(np.concatenate([pdf["dst"], pdf["src"]]), return_inverse=True)
-    n = len(ids)
-    alpha, r = np.zeros((n, n)), np.zeros(n)
-    alpha[at[: len(pdf)], at[len(pdf) :]] = pdf["alpha"]
-    r[at[len(pdf) :]] = pdf["r"]
-    return ids, alpha, r
-
-
 def radius(alpha: np.ndarray, r: np.ndarray) -> float:
     """Largest real part of the eigenvalues of alpha diag(r)."""
     return float(np.linalg.eigvals(alpha * r).real.max())
@@ -38,19 +29,31 @@ def sensitivity(alpha: np.ndarray, r: np.ndarray) -> tuple[float, np.ndarray, np
     return float(values[i].real), by_r, by_w
 
 
-def _joined(alpha: DataFrame, r: DataFrame) -> DataFrame:
-    on = ["sample", "src", "t"] if "t" in alpha.columns else ["sample", "src"]
-    return alpha.join(r.select("sample", F.col("s").alias("src"), "t", "r"), on).select("sample", "t", "dst", "src", "alpha", "r")
+def _by_sample(alpha: DataFrame, r: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel`` on each draw: alpha reaches its group once, not once for each time. Where alpha varies in time, a group is a draw's time."""
+    keys = ["sample", "t"] if "t" in alpha.columns else ["sample"]
+
+    def run(key: tuple, edges: pd.DataFrame, rates: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.concatenate([edges["dst"], edges["src"]]), return_inverse=True)
+        a = np.zeros((len(ids), len(ids)))
+        a[at[: len(edges)], at[len(edges) :]] = edges["alpha"]
+        rates = rates[rates["s"].isin(edges["src"])]
+        times, row = np.unique(rates["t"], return_inverse=True)
+        x = np.zeros((len(times), len(ids)))
+        x[row, np.searchsorted(ids, rates["s"])] = rates["r"]
+        return kernel(key[0], times, ids, a, x)
+
+    return alpha.groupBy(*keys).cogroup(r.select("sample", "s", "t", "r").groupBy(*keys)).applyInPandas(run, schema)
 
 
 def network_r(alpha: DataFrame, r: DataFrame) -> DataFrame:
     """rho by (sample, t). ``alpha``: sample, dst, src, alpha [, t]; ``r``: sample, s, t, r."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, a, x = _dense(pdf)
-        return pd.DataFrame({"sample": [key[0]], "t": [key[1]], "rho": [radius(a, x)]})
+    def kernel(sample, times, ids, a, x) -> pd.DataFrame:
+        rho = np.linalg.eigvals(a * x[:, None, :]).real.max(axis=1) if len(ids) and len(times) else np.zeros(0)
+        return pd.DataFrame({"sample": sample, "t": times[: len(rho)], "rho": rho})
 
-    return _joined(alpha, r).groupBy("sample", "t").applyInPandas(run, "sample int, t int, rho double")
+    return _by_sample(alpha, r, kernel, "sample int, t int, rho double")
 
 
 def network_r_quantiles(rho: DataFrame, probs: dict[str, float]) -> DataFrame:
@@ -60,9 +63,8 @@ def network_r_quantiles(rho: DataFrame, probs: dict[str, float]) -> DataFrame:
 def spectral_sensitivity(alpha: DataFrame, r: DataFrame) -> DataFrame:
     """(sample, t, src): slopes of rho in R and in retention."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, a, x = _dense(pdf)
-        rho, by_r, by_w = sensitivity(a, x)
-        return pd.DataFrame({"sample": key[0], "t": key[1], "src": ids, "rho": rho, "by_r": by_r, "by_retention": by_w})
+    def kernel(sample, times, ids, a, x) -> pd.DataFrame:
+        out = [pd.DataFrame({"sample": sample, "t": t, "src": ids, "rho": rho, "by_r": by_r, "by_retention": by_w}) for t, row in zip(times, x, strict=True) for rho, by_r, by_w in [sensitivity(a, row)]]
+        return pd.concat(out) if len(ids) and out else pd.DataFrame({c: [] for c in ("sample", "t", "src", "rho", "by_r", "by_retention")})
 
-    return _joined(alpha, r).groupBy("sample", "t").applyInPandas(run, "sample int, t int, src int, rho double, by_r double, by_retention double")
+    return _by_sample(alpha, r, kernel, "sample int, t int, src int, rho double, by_r double, by_retention double")
