@@ -309,8 +309,11 @@ def main_text(page: str | None, weights: PageWeights) -> str:
 def sample_weights(pages: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> PageWeights:
     """Fit on a bounded sample: the ``sample_pages`` first in hash order among distinct pages with an article element and at most ``sample_chars`` code points."""
     marked = pages.select(F.col(html_col).cast("string").alias("_h")).where((F.length("_h") <= sample_chars) & F.contains(F.col("_h"), F.lit("<article")))
-    # No task keeps more than the sample; copies of a page come one after another, so twice as many leave room for some.
-    rows = marked.orderBy(F.xxhash64("_h"), "_h").limit(2 * sample_pages).distinct().orderBy(F.xxhash64("_h"), "_h").limit(sample_pages).collect()
+    # The first pages in hash order lie below this share of all hashes, so no task sorts or sends more than a few times the sample; copies meet after map-side aggregation.
+    share = (2 * sample_pages + 100) / max(1, marked.count())
+    if share < 1:
+        marked = marked.where(F.xxhash64("_h") < int(share * 2**64) - 2**63)
+    rows = marked.distinct().orderBy(F.xxhash64("_h"), "_h").limit(sample_pages).collect()
     return fit_weights([r["_h"] for r in rows])
 
 
