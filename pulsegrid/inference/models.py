@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from ..config import LagSpec
 from ..functions.special import lag_gradient, lag_weights
 from . import hmc
+from .filters import zero_backward, zero_filter
 from .kernels import band, centre_columns, gain, gain_slope, log_density, log_density_slope, off_diagonal_softmax
 from .spatial import Bym2, Car
 
@@ -204,46 +205,51 @@ class NetworkModel:
         return float(f), np.concatenate(parts)
 
 
-@dataclass
-class PanelModel:
-    """lambda_st = exp(a_s) + f_st + exp(b_s) sum of W y_(t - 1), negative binomial.
+def _size_slope(y: np.ndarray, lam: np.ndarray, size: float, on: np.ndarray, e: float = 1e-5) -> float:
+    """Slope of the negative-binomial log density in log size, over the cells that are on, from t = 1."""
+    up, down = (log_density(y, lam, "nbinomm", size * np.exp(x)) * on for x in (e, -e))
+    return float((up - down)[1:].sum() / (2 * e))
 
-    One model for all panel variants: ``alpha`` and ``beta`` are scalar, vector or spatial; ``disturbance`` iid or spatial; ``prior`` car or bym2.
-    Spatial blocks are whitened by their precision at given hyperparameters, which ``renew`` draws anew after each HMC run: a block's rho (of ``car``) or share phi
-    (of ``bym2``) by a random walk on its logit, its precision tau from its gamma conditional (a disturbance has W for that). ``trace`` has what each sweep left.
-    """
 
-    y: np.ndarray
-    v: np.ndarray
-    phi: np.ndarray
-    alpha: str = "vector"
-    beta: str = "vector"
-    disturbance: str = "iid"
-    prior: str = "car"
-    rho: float = 0.5
+class PanelBlocks:
+    """What panel models share: fields over a graph (``graph``, ``prior``, ``ns``), whose hyperparameters are drawn anew, and zero inflation.
 
-    def __post_init__(self) -> None:
-        for what, got, known in (("alpha", self.alpha, ("scalar", "vector", "spatial")), ("beta", self.beta, ("scalar", "vector", "spatial")), ("disturbance", self.disturbance, ("iid", "spatial")), ("prior", self.prior, ("car", "bym2"))):
-            if got not in known:
-                raise ValueError(f"{what} must be one of {', '.join(known)}, not {got!r}")
+    With ``zero`` given as (b0, b1), each series has a chain z of its own: log odds of z_t = 1 are b0 + b1 z_(t - 1), and a count is 0 where z is.
+    ``renew_zeros`` draws the chains by filter and backward draw, then b0 and b1 by a random walk; ``on`` has the chains. Without it all cells are on.
+    """
+
+    def set_up(self, zero: tuple[float, float] | None) -> None:
         self.n, self.ns = self.y.shape
-        self.conv = band(self.phi, self.n)
         total = self.v.sum(1, keepdims=True)
         w = np.divide(self.v, total, out=np.zeros_like(self.v), where=total > 0)
-        self.cross = np.vstack([np.zeros(self.ns), self.y[:-1] @ w.T])
+        self.own_lag = np.vstack([np.zeros(self.ns), self.y[:-1]])
+        self.cross = self.own_lag @ w.T
         self.graph = Car(self.v) if self.prior == "car" else Bym2(self.v)
-        self.hyper = {block: (self.rho, 1.0) for block in ("alpha", "beta", "disturbance") if getattr(self, block) == "spatial"}
-        self.roots = {block: self._root(*h) for block, h in self.hyper.items()}
+        self.chance = None if zero is None else np.array(zero, dtype=float)
+        self.on = np.ones_like(self.y)
         self.trace: list[dict[str, np.ndarray]] = []
 
+    def renew_zeros(self, rng: np.random.Generator, lam: np.ndarray, size: float) -> dict[str, np.ndarray]:
+        if self.chance is None:
+            return {}
+        loglik = log_density(self.y, lam, "nbinomm", size)
+        for s in range(self.ns):
+            filtered = zero_filter(self.y[:, s], loglik[:, s], *self.chance)
+            self.on[:, s] = zero_backward(rng, filtered, *self.chance)
+
+        def log_density_of(b: np.ndarray) -> float:
+            odds = b[0] + b[1] * self.on[:-1]
+            return float((self.on[1:] * odds - np.logaddexp(0, odds)).sum() - 0.5 * ((b / 3) ** 2).sum())
+
+        new = self.chance + 0.3 * rng.standard_normal(2)
+        if np.log(rng.random()) < log_density_of(new) - log_density_of(self.chance):
+            self.chance = new
+        return {"zero_chance": self.chance.copy(), "on": self.on.mean(0)}
+
     def _root(self, rho: float, tau: float) -> np.ndarray:
         cov = np.linalg.inv(self.graph.precision(rho)) / tau if self.prior == "car" else self.graph.covariance(tau, rho)
         return np.linalg.cholesky(cov + 1e-9 * np.eye(self.ns))
 
-    def _map(self, block: str) -> np.ndarray:
-        kind = getattr(self, block)
-        return np.ones((self.ns, 1)) if kind == "scalar" else np.eye(self.ns) if kind == "vector" else self.roots[block]
-
     def _forms(self, u: np.ndarray, rho: float) -> tuple[float, float]:
         """Log determinant of the unit precision, and the rows' sum of its quadratic forms."""
         if self.prior == "car":
@@ -267,6 +273,39 @@ class PanelModel:
             tau = float(rng.gamma(1 + 0.5 * u.size, 1 / (1 + 0.5 * self._forms(u, rho)[1])))
         return rho, tau
 
+
+@dataclass
+class PanelModel(PanelBlocks):
+    """lambda_st = exp(a_s) + f_st + exp(b_s) sum of W y_(t - 1), negative binomial.
+
+    One model for the base panel and its variants with iid, CAR and BYM2 effects: ``alpha`` and ``beta`` are scalar, vector or spatial; ``disturbance`` iid or spatial; ``prior`` car or bym2.
+    Spatial blocks are whitened by their precision at given hyperparameters, which ``renew`` draws anew after each HMC run: a block's rho (of ``car``) or share phi
+    (of ``bym2``) by a random walk on its logit, its precision tau from its gamma conditional (a disturbance has W for that). ``trace`` has what each sweep left.
+    """
+
+    y: np.ndarray
+    v: np.ndarray
+    phi: np.ndarray
+    alpha: str = "vector"
+    beta: str = "vector"
+    disturbance: str = "iid"
+    prior: str = "car"
+    rho: float = 0.5
+    zero: tuple[float, float] | None = None
+
+    def __post_init__(self) -> None:
+        for what, got, known in (("alpha", self.alpha, ("scalar", "vector", "spatial")), ("beta", self.beta, ("scalar", "vector", "spatial")), ("disturbance", self.disturbance, ("iid", "spatial")), ("prior", self.prior, ("car", "bym2"))):
+            if got not in known:
+                raise ValueError(f"{what} must be one of {', '.join(known)}, not {got!r}")
+        self.set_up(self.zero)
+        self.conv = band(self.phi, self.n)
+        self.hyper = {block: (self.rho, 1.0) for block in ("alpha", "beta", "disturbance") if getattr(self, block) == "spatial"}
+        self.roots = {block: self._root(*h) for block, h in self.hyper.items()}
+
+    def _map(self, block: str) -> np.ndarray:
+        kind = getattr(self, block)
+        return np.ones((self.ns, 1)) if kind == "scalar" else np.eye(self.ns) if kind == "vector" else self.roots[block]
+
     def renew(self, rng: np.random.Generator, x: np.ndarray) -> np.ndarray:
         """Hyperparameters given the fields, and the point that has the same fields under them."""
         x, k = x.copy(), self.n * self.ns
@@ -278,7 +317,8 @@ class PanelModel:
             self.roots[block] = self._root(*self.hyper[block])
             x[where] = np.linalg.solve(self.roots[block], u.T).T.ravel()
         log_a, log_b = self.coefficients(x)
-        self.trace.append({"alpha": np.exp(log_a), "beta": np.exp(log_b)} | {f"{what}_{block}": np.array([h[i]]) for block, h in self.hyper.items() for i, what in enumerate(("rho" if self.prior == "car" else "phi", "tau")) if i == 0 or block != "disturbance"})
+        zeros = self.renew_zeros(rng, self.intensity(x), np.exp(x[k + 1]))
+        self.trace.append({"alpha": np.exp(log_a), "beta": np.exp(log_b)} | zeros | {f"{what}_{block}": np.array([h[i]]) for block, h in self.hyper.items() for i, what in enumerate(("rho" if self.prior == "car" else "phi", "tau")) if i == 0 or block != "disturbance"})
         return x
 
     def size(self) -> int:
@@ -297,6 +337,13 @@ class PanelModel:
         za, zb = np.split(x[k:], [ma.shape[1]])
         return x[k - 2] + ma @ za, x[k - 1] + mb @ zb
 
+    def intensity(self, x: np.ndarray) -> np.ndarray:
+        k = self.n * self.ns
+        noise = x[:k].reshape(self.n, self.ns) @ (self.roots["disturbance"].T if self.disturbance == "spatial" else np.eye(self.ns))
+        h = gain(np.cumsum(noise * np.exp(0.5 * x[k]), 0))
+        a, b = (np.exp(c) for c in self.coefficients(x))
+        return a + self.conv @ (np.vstack([h[1:], np.zeros(self.ns)]) * self.y) + b * self.cross
+
     def target(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         n, ns = self.n, self.ns
         ma, mb = self._map("alpha"), self._map("beta")
@@ -313,15 +360,14 @@ class PanelModel:
         h = gain(psi)
         force = np.vstack([h[1:], np.zeros(ns)]) * self.y
         lam = a + self.conv @ force + b * self.cross
-        f = log_density(self.y, lam, "nbinomm", size)[1:].sum()
-        g = log_density_slope(self.y, lam, "nbinomm", size)
+        f = (log_density(self.y, lam, "nbinomm", size) * self.on)[1:].sum()
+        g = log_density_slope(self.y, lam, "nbinomm", size) * self.on
         g[0] = 0
         back = (self.conv.T @ g) * self.y
         dpsi = np.vstack([np.zeros(ns), back[:-1]]) * gain_slope(psi)
         dw = np.cumsum(dpsi[::-1], 0)[::-1]
         da, db = g.sum(0) * a, (g * self.cross).sum(0) * b
-        e = 1e-5
-        dsize = (log_density(self.y, lam, "nbinomm", size * np.exp(e))[1:].sum() - log_density(self.y, lam, "nbinomm", size * np.exp(-e))[1:].sum()) / (2 * e)
+        dsize = _size_slope(self.y, lam, size, self.on)
         static = np.array([0.5 * sd * (dw * noise).sum(), dsize, da.sum(), db.sum()])
         for i, (mean, spread) in enumerate(((-4.0, 1.5), (3.0, 1.0), (0.0, 2.0), (-2.0, 1.0))):
             p, q = _normal(x[n * ns + i], mean, spread)
@@ -331,6 +377,163 @@ class PanelModel:
         return float(f), np.concatenate([((dw * sd) @ mix.T - eta).ravel(), static, ma.T @ da - za, mb.T @ db - zb])
 
 
+@dataclass
+class SharedWalkModel(PanelBlocks):
+    """lambda_st = exp(a) + sum over lags of phi_l h(psi1_s + psi2_(t - l + 1)) y_(t - l), negative binomial: a spatial field and one random walk share the gain, without a cross term."""
+
+    y: np.ndarray
+    v: np.ndarray
+    phi: np.ndarray
+    prior: str = "bym2"
+    rho: float = 0.5
+    zero: tuple[float, float] | None = None
+
+    def __post_init__(self) -> None:
+        self.set_up(self.zero)
+        self.conv = band(self.phi, self.n)
+        self.hyper = (self.rho, 1.0)
+        self.root = self._root(*self.hyper)
+
+    def size(self) -> int:
+        return self.n + self.ns + 3
+
+    def start(self) -> np.ndarray:
+        return np.concatenate([[np.log(max(self.y.mean() * 0.2, 0.1)), np.log(0.01), np.log(20.0)], np.zeros(self.n + self.ns)])
+
+    def psi(self, x: np.ndarray) -> np.ndarray:
+        return np.cumsum(x[3 : 3 + self.n] * np.exp(0.5 * x[1]))[:, None] + self.root @ x[3 + self.n :]
+
+    def intensity(self, x: np.ndarray) -> np.ndarray:
+        return np.exp(x[0]) + self.conv @ (np.vstack([gain(self.psi(x))[1:], np.zeros(self.ns)]) * self.y)
+
+    def renew(self, rng: np.random.Generator, x: np.ndarray) -> np.ndarray:
+        x = x.copy()
+        field = self.root @ x[3 + self.n :]
+        self.hyper = self.renew_hyper(rng, field[None], *self.hyper)
+        self.root = self._root(*self.hyper)
+        x[3 + self.n :] = np.linalg.solve(self.root, field)
+        zeros = self.renew_zeros(rng, self.intensity(x), np.exp(x[2]))
+        self.trace.append({"psi1": field, "psi2": self.psi(x)[:, 0] - field[0], "rho" if self.prior == "car" else "phi": np.array(self.hyper[:1]), "tau": np.array(self.hyper[1:])} | zeros)
+        return x
+
+    def target(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        if _outside(x[0], "mean") or _outside(x[1], "var") or _outside(x[2], "size"):
+            return -np.inf, np.zeros_like(x)
+        sd, size, eta, z = np.exp(0.5 * x[1]), np.exp(x[2]), x[3 : 3 + self.n], x[3 + self.n :]
+        lam, psi = self.intensity(x), self.psi(x)
+        f = (log_density(self.y, lam, "nbinomm", size) * self.on)[1:].sum() - 0.5 * (eta @ eta + z @ z)
+        g = log_density_slope(self.y, lam, "nbinomm", size) * self.on
+        g[0] = 0
+        back = (self.conv.T @ g) * self.y
+        dpsi = np.vstack([np.zeros(self.ns), back[:-1]]) * gain_slope(psi)
+        dw = np.cumsum(dpsi.sum(1)[::-1])[::-1]
+        static = np.array([g.sum() * np.exp(x[0]), 0.5 * sd * (dw @ eta), _size_slope(self.y, lam, size, self.on)])
+        for i, (mean, spread) in enumerate(((0.0, 2.0), (-4.0, 1.5), (3.0, 1.0))):
+            p, q = _normal(x[i], mean, spread)
+            f += p
+            static[i] += q
+        return float(f), np.concatenate([static, dw * sd - eta, self.root.T @ dpsi.sum(0) - z])
+
+
+@dataclass
+class AutoregressiveModel(PanelBlocks):
+    """lambda_st = exp(A_st) + exp(B_st) y_(s, t - 1) + exp(C_st) sum of W y_(t - 1), negative binomial.
+
+    Each of A (``intercept``), B (``own``) and C (``other``) is a constant plus what its option names: "spatial" a field over the graph, "walk" a random
+    walk in time, "spatial walk" both, "" neither.
+    """
+
+    y: np.ndarray
+    v: np.ndarray
+    intercept: str = "walk"
+    own: str = ""
+    other: str = ""
+    prior: str = "bym2"
+    rho: float = 0.5
+    zero: tuple[float, float] | None = None
+
+    def __post_init__(self) -> None:
+        self.set_up(self.zero)
+        self.inputs = (np.ones_like(self.y), self.own_lag, self.cross)
+        self.at: dict[tuple[int, str], slice] = {}
+        self.length = 4  # three constants and the log size
+        for k, option in enumerate((self.intercept, self.own, self.other)):
+            if unknown := set(option.split()) - {"spatial", "walk"}:
+                raise ValueError(f"unknown part {unknown}")
+            for part in option.split():
+                for name, n in {"spatial": (("spatial", self.ns),), "walk": (("walk", self.n), ("var", 1))}[part]:
+                    self.at[k, name] = slice(self.length, self.length + n)
+                    self.length += n
+        self.hyper = {k: (self.rho, 1.0) for k, name in self.at if name == "spatial"}
+        self.roots = {k: self._root(*h) for k, h in self.hyper.items()}
+
+    def size(self) -> int:
+        return self.length
+
+    def start(self) -> np.ndarray:
+        x = np.zeros(self.length)
+        x[:4] = np.log(max(self.y.mean() * 0.2, 0.1)), -1.0, -2.0, np.log(20.0)
+        for (_, name), where in self.at.items():
+            if name == "var":
+                x[where] = np.log(0.01)
+        return x
+
+    def coefficients(self, x: np.ndarray) -> list[np.ndarray]:
+        """A, B and C by time and place."""
+        out = []
+        for k in range(3):
+            c = np.full((self.n, self.ns), x[k])
+            if (k, "spatial") in self.at:
+                c = c + self.roots[k] @ x[self.at[k, "spatial"]]
+            if (k, "walk") in self.at:
+                c = c + np.cumsum(x[self.at[k, "walk"]] * np.exp(0.5 * x[self.at[k, "var"]]))[:, None]
+            out.append(c)
+        return out
+
+    def intensity(self, x: np.ndarray) -> np.ndarray:
+        return sum(np.exp(c) * by for c, by in zip(self.coefficients(x), self.inputs, strict=True))
+
+    def renew(self, rng: np.random.Generator, x: np.ndarray) -> np.ndarray:
+        x, seen = x.copy(), {}
+        for k, (rho, tau) in self.hyper.items():
+            where = self.at[k, "spatial"]
+            field = self.roots[k] @ x[where]
+            self.hyper[k] = self.renew_hyper(rng, field[None], rho, tau)
+            self.roots[k] = self._root(*self.hyper[k])
+            x[where] = np.linalg.solve(self.roots[k], field)
+            seen |= {f"field{k}": field, f"{'rho' if self.prior == 'car' else 'phi'}{k}": np.array(self.hyper[k][:1]), f"tau{k}": np.array(self.hyper[k][1:])}
+        self.trace.append(seen | self.renew_zeros(rng, self.intensity(x), np.exp(x[3])))
+        return x
+
+    def target(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        logs, size = self.coefficients(x), np.exp(x[3])
+        if _outside(x[3], "size") or any(_outside(c, "mean") for c in logs) or any(_outside(x[w], "var") for (_, name), w in self.at.items() if name == "var"):
+            return -np.inf, np.zeros_like(x)
+        terms = [np.exp(c) * by for c, by in zip(logs, self.inputs, strict=True)]
+        lam = sum(terms)
+        f = (log_density(self.y, lam, "nbinomm", size) * self.on)[1:].sum()
+        g = log_density_slope(self.y, lam, "nbinomm", size) * self.on
+        g[0] = 0
+        grad = np.zeros_like(x)
+        grad[3] = _size_slope(self.y, lam, size, self.on)
+        priors = [(slice(i, i + 1), m, sd) for i, (m, sd) in enumerate(((0.0, 2.0), (-1.0, 1.0), (-2.0, 1.0), (3.0, 1.0)))]
+        for k in range(3):
+            d = g * terms[k]
+            grad[k] = d.sum()
+            if (k, "spatial") in self.at:
+                grad[self.at[k, "spatial"]] = self.roots[k].T @ d.sum(0)
+            if (k, "walk") in self.at:
+                walk, var = self.at[k, "walk"], self.at[k, "var"]
+                sd, dw = np.exp(0.5 * x[var]), np.cumsum(d.sum(1)[::-1])[::-1]
+                grad[walk], grad[var] = dw * sd, 0.5 * sd * (dw @ x[walk])
+        priors += [(w, *((-4.0, 1.5) if name == "var" else (0.0, 1.0))) for (_, name), w in self.at.items()]
+        for where, mean, spread in priors:
+            p, q = _normal(x[where], mean, spread)
+            f += p
+            grad[where] += q
+        return float(f), grad
+
+
 def run_chains(panel: DataFrame, build, names, n_chains: int, n_burn: int, n_keep: int, seed: int = 1, edges: DataFrame | None = None) -> DataFrame:
     """Chains of a model over a panel that fits one kernel: (chain, iter, param, idx, value), one Arrow group a chain.
 

@@ -143,6 +143,27 @@ def posterior_summary(draws: DataFrame, truth: DataFrame | None = None) -> DataF
     return q.join(truth, ["param", "idx"], "left")
 
 
+def fit_statistics(y_draws: DataFrame, r_draws: DataFrame | None = None) -> DataFrame:
+    """In-sample fit by series: y_chisq (of all series together, as of ``chisq_draws``), y_crps, y_coverage, y_width and, given draws of R with their truth, r_mae, r_coverage, r_width.
+
+    ``y_draws`` has (s, t, x, y), ``r_draws`` (s, t, x, y) with the true R as y; intervals are type-7 quantiles at 2.5 and 97.5 %. Null draws are left out by the
+    aggregates; a series without R has nulls there; an empty table gives an empty result.
+    """
+
+    def interval(draws: DataFrame) -> DataFrame:
+        q = {"lo": 0.025, "hi": 0.975}
+        return draws.groupBy("s", "t").agg(F.max("y").alias("y"), F.avg("x").alias("m"), *(F.percentile("x", F.lit(p)).alias(name) for name, p in q.items()))
+
+    named = lambda df, prefix: df.withColumnsRenamed({"coverage": f"{prefix}_coverage", "width": f"{prefix}_width"})
+    overall = chisq_draws(y_draws.withColumn("all", F.lit(1)), ["all"], ["all", "s", "t"]).select(F.col("chisq").alias("y_chisq"))
+    out = crps_panel(y_draws).withColumnRenamed("crps", "y_crps").join(named(coverage_width(interval(y_draws), ["s"]), "y"), "s").join(F.broadcast(overall))  # one row
+    if r_draws is None:
+        return out
+    cells = interval(r_draws)
+    mae = cells.groupBy("s").agg(F.avg(F.abs(F.col("m") - F.col("y"))).alias("r_mae"))
+    return out.join(mae.join(named(coverage_width(cells, ["s"]), "r"), "s"), "s", "left")
+
+
 def mae_rmse(rows: DataFrame, keys: list[str], est: str, truth: str) -> DataFrame:
     e = F.col(est) - F.col(truth)
     return rows.groupBy(*keys).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))

@@ -195,6 +195,28 @@ def infer_panel(spark: SparkSession, d: str) -> DataFrame:
     return models.run_chains(fx.panel(spark, d), build, names, 2, 80, 80, edges=fx.adjacency(spark, d))
 
 
+def infer_autoregressive(spark: SparkSession, d: str) -> DataFrame:
+    """Two chains of the autoregressive panel with a spatial and a walking intercept and a spatial own coefficient."""
+
+    def names(model, draws):
+        kept = model.trace[-len(draws) :]
+        return {"intercept": draws[:, 0], "own": draws[:, 1], "other": draws[:, 2], "size": np.exp(draws[:, 3])} | {name: np.array([x[name] for x in kept]) for name in kept[0]}
+
+    build = lambda pdf, edges: models.AutoregressiveModel(_wide(pdf), _square(edges, "v", pdf), "spatial walk", "spatial", "")
+    return models.run_chains(fx.panel(spark, d), build, names, 2, 80, 80, edges=fx.adjacency(spark, d))
+
+
+def infer_shared_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Two chains of the panel whose gain is shared by a spatial field and one walk, with zero inflation."""
+
+    def names(model, draws):
+        kept = model.trace[-len(draws) :]
+        return {"mu": np.exp(draws[:, 0]), "W": np.exp(draws[:, 1]), "size": np.exp(draws[:, 2])} | {name: np.array([x[name] for x in kept]) for name in kept[0]}
+
+    build = lambda pdf, edges: models.SharedWalkModel(_wide(pdf), _square(edges, "v", pdf), PHI, zero=(-1.0, 2.5))
+    return models.run_chains(fx.panel(spark, d), build, names, 2, 80, 80, edges=fx.adjacency(spark, d))
+
+
 def posterior_predictive(spark: SparkSession, d: str) -> DataFrame:
     panel = fx.panel(spark, d)
     lam = predict.conditional_intensity(panel, fx.rt_draws(spark, d), fx.alpha_draws(spark, d), PHI, 0.5, MONTHS)
@@ -210,7 +232,7 @@ QUERIES = {
     for f in (
         spectral_radius, spectral_radius_quantiles, spectral_sensitivity, bym2_scale, bym2_fit, car_draw, car_rho_posterior,
         simulate_temporal, simulate_iterative, simulate_panel, simulate_network, simulate_secondary, zero_inflation_chain,
-        lba_filter, zero_inflation_filter, polya_gamma_states, hmc_chain, infer_network, infer_panel,
+        lba_filter, zero_inflation_filter, polya_gamma_states, hmc_chain, infer_network, infer_panel, infer_autoregressive, infer_shared_walk,
         posterior_predictive, forecast_network,
     )
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import EPS, LagSpec
 from ..functions import scalars as fs
 from ..functions import special
+from ..inference import spectral
 from ..operators import convolve, metrics, network
 from ..sources import tables
 from . import fixtures as fx
@@ -476,6 +477,30 @@ def rt_mae_rmse(spark, d):
     return metrics.mae_rmse(est.join(fx.rt(spark, d), ["s", "t"]), ["s"], "m", "r")
 
 
+FIT_SQL = f"""SELECT s, y_chisq, y_crps, y_coverage, y_width, r_mae, r_coverage, r_width
+    FROM (SELECT s, avg(crps) AS y_crps FROM ({CRPS}) GROUP BY s)
+    JOIN (SELECT s, avg((y >= lo AND y <= hi)::INT) AS y_coverage, avg(hi - lo) AS y_width FROM (SELECT s, t, max(y) AS y, quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM ydraws GROUP BY s, t) GROUP BY s) USING (s)
+    JOIN (SELECT s, avg(abs(m - r)) AS r_mae, avg((r >= lo AND r <= hi)::INT) AS r_coverage, avg(hi - lo) AS r_width
+          FROM (SELECT s, t, avg(r) AS m, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM rtd GROUP BY s, t) JOIN rt USING (s, t) GROUP BY s) USING (s),
+    (SELECT avg((abs(x - y) + 1e-12) * (abs(x - y) + 1e-12) / (v + 1e-12)) AS y_chisq FROM ydraws JOIN (SELECT s, t, var_pop(x) AS v FROM ydraws GROUP BY s, t) USING (s, t))"""
+
+
+@query("s y_chisq* y_crps* y_coverage* y_width* r_mae* r_coverage* r_width*", "panel samples ydraws rtd rt", FIT_SQL)
+def fit_statistics(spark, d):
+    truth = fx.rt(spark, d).withColumnRenamed("r", "y")
+    return metrics.fit_statistics(fx.y_draws(spark, d), fx.rt_draws(spark, d).withColumnRenamed("r", "x").join(truth, ["s", "t"]))
+
+
+RHO_SQL = "SELECT sample, t, 1 + 0.4 * sin(0.9 * sample + 0.1 * t) AS rho FROM samples, (SELECT DISTINCT t FROM panel)"
+
+
+@query("t q025* q500* q975*", "panel samples", f"SELECT t, {', '.join(f'quantile_cont(rho, {p}) AS {n}' for n, p in PROBS.items())} FROM ({RHO_SQL}) GROUP BY t")
+def network_r_quantiles(spark, d):
+    """Quantiles over draws of a given table of spectral radii."""
+    rho = tables.with_samples(fx.panel(spark, d).select("t").distinct(), fx.N_SAMPLES)
+    return spectral.network_r_quantiles(rho.select("sample", "t", (1 + 0.4 * F.sin(0.9 * F.col("sample") + 0.1 * F.col("t"))).alias("rho")), PROBS)
+
+
 @query("s rate*", "panel", "SELECT s, avg((y > 0)::INT) AS rate FROM panel GROUP BY s")
 def zero_mask_rate(spark, d):
     return fx.panel(spark, d).groupBy("s").agg(F.avg((F.col("y") > 0).cast("double")).alias("rate"))

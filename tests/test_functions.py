@@ -163,6 +163,13 @@ def _models():
         yield models.NetworkModel(y, np.abs(i[:, None] - i) / 3.0, phi, h)
     for a, b, d, p in (("scalar", "vector", "iid", "car"), ("spatial", "spatial", "spatial", "bym2")):
         yield models.PanelModel(y, v, phi, a, b, d, p)
+    for p in ("car", "bym2"):
+        yield models.SharedWalkModel(y, v, phi, p)
+    for parts in (("", "", ""), ("walk", "", ""), ("spatial walk", "walk spatial", "spatial walk")):
+        yield models.AutoregressiveModel(y, v, *parts)
+    m = models.PanelModel(y, v, phi, zero=(-1.0, 2.0))
+    m.on[3:5, 1] = 0
+    yield m
 
 
 def test_gradients():
@@ -203,6 +210,35 @@ def test_panel_hyperparameters_are_renewed(prior):
     assert np.allclose(fields(m.renew(rng, x)), before) and m.hyper["alpha"] != hyper["alpha"] and m.hyper["disturbance"][1] == 1.0
 
 
+def test_sweeps_keep_the_fields_and_draw_zeros():
+    rng = np.random.default_rng(6)
+    i = np.arange(8)
+    v = (np.abs(i[:, None] - i) == 1).astype(float)
+    z = np.column_stack([simulate.zero_chain(rng, 60, -1.0, 3.0) for _ in i])
+    y = rng.poisson(9, (60, 8)) * z
+    for m in (models.SharedWalkModel(y, v, special.lag_weights(), zero=(0.0, 1.0)), models.AutoregressiveModel(y, v, "spatial walk", "spatial", zero=(0.0, 1.0)), models.PanelModel(y, v, special.lag_weights(), "spatial", zero=(0.0, 1.0))):
+        x = m.start() + 0.05 * rng.standard_normal(m.size())
+        before = m.intensity(x)
+        moved = m.renew(rng, x)
+        assert np.allclose(m.intensity(moved), before)
+        assert (m.on[y > 0] == 1).all() and m.on[1:][y[1:] == 0].mean() < 0.6
+        assert np.allclose(m.target(moved)[1], hmc.numeric_gradient(lambda u, m=m: m.target(u)[0], moved), atol=1e-3)
+
+
+def test_autoregressive_model_recovers_what_made_its_counts():
+    rng = np.random.default_rng(8)
+    i = np.arange(8)
+    v = (np.abs(i[:, None] - i) == 1).astype(float)
+    w = v / v.sum(1, keepdims=True)
+    y = np.full((150, 8), 8.0)
+    for t in range(1, 150):
+        y[t] = rng.poisson(2.0 + 0.5 * y[t - 1] + 0.25 * (w @ y[t - 1]))
+    m = models.AutoregressiveModel(y, v, "", "", "")
+    draws, _ = hmc.sample(m.target, m.start(), 5, 300, 600)
+    got = np.exp(draws[:, :3].mean(0))
+    assert np.allclose(got[1:], (0.5, 0.25), atol=0.1) and abs(got[0] - 2.0) < 0.8
+
+
 def test_hmc_recovers_a_gaussian():
     draws, info = hmc.sample(lambda z: (-0.125 * z @ z, -z / 4), np.zeros(4), 3, 400, 1500)
     assert np.allclose(draws.var(0), 4, atol=1.2) and info["accept"] > 0.5

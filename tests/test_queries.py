@@ -31,7 +31,7 @@ def test_kernels_run(spark, sf_dir, name):
     assert len(got) and not got.isna().any().any()
 
 
-@pytest.mark.parametrize(("name", "param"), [("polya_gamma_states", None), ("infer_network", "retention"), ("infer_panel", "alpha")])
+@pytest.mark.parametrize(("name", "param"), [("polya_gamma_states", None), ("infer_network", "retention"), ("infer_panel", "alpha"), ("infer_autoregressive", "field0"), ("infer_shared_walk", "on")])
 def test_samplers_take_the_whole_panel(spark, sf_dir, name, param):
     got = kernel_queries.QUERIES[name](spark, sf_dir).toPandas()
     assert len(got) and not got.isna().any().any()
