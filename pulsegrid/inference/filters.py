@@ -6,17 +6,19 @@ import math
 
 import numpy as np
 
-from ..config import EPS, OBSERVATIONS, known
+from ..config import DISCOUNTS, EPS, OBSERVATIONS, known
 from .kernels import gain, gain_slope
 
 
-def linear_bayes(y: np.ndarray, phi: np.ndarray, var: float, mu0: float = 0.0, size: float = 30.0, observation: str = "nbinomm", gain_name: str = "softplus", discount: float | None = None) -> dict[str, np.ndarray]:
+def linear_bayes(y: np.ndarray, phi: np.ndarray, var: float, mu0: float = 0.0, size: float = 30.0, observation: str = "nbinomm", gain_name: str = "softplus", discount: float | None = None, discount_type: str = "first_elem", reference: bool = False) -> dict[str, np.ndarray]:
     """Filter and smooth psi of a sliding transfer model with state (psi_t, ..., psi_(t - L + 1)), linearised at the prediction.
 
     The conjugate (alpha, beta) of the observation are matched to the forecast's mean and variance. ``discount`` instead of ``var`` inflates
-    the first element's variance alone, so lagged elements keep theirs.
+    the first element's variance alone (``first_elem``) or the whole matrix (``all_elems`` and ``all_lag_elems``, alike as the state is lags alone);
+    smoothing then mixes each step's filtered moments with the next smoothed ones. With ``reference`` the first L steps keep the first step's posterior.
     """
     observation = known(observation, OBSERVATIONS, "observation")
+    discount_type = known(discount_type, DISCOUNTS, "discount")
     if observation == "nbinomp":
         raise ValueError("the linear-Bayes filter has no nbinomp form")
     n, width = len(y), len(phi)
@@ -26,8 +28,17 @@ def linear_bayes(y: np.ndarray, phi: np.ndarray, var: float, mu0: float = 0.0, s
     ms, cs, means, rs, fs, qs = np.zeros((n, width)), np.zeros((n, width, width)), np.zeros((n, width)), np.zeros((n, width, width)), np.zeros(n), np.zeros(n)
     ms[0], cs[0] = m, c
     for t in range(1, n):
+        if reference and 1 < t <= width < n - 1:
+            for x in (ms, cs, means, rs, fs, qs):
+                x[t] = x[t - 1]
+            continue
         a, r = g @ m, g @ c @ g.T
-        r[0, 0] = r[0, 0] / discount if discount else r[0, 0] + var
+        if not discount:
+            r[0, 0] += var
+        elif discount_type == "first_elem":
+            r[0, 0] /= discount
+        else:
+            r /= discount
         k = np.arange(min(t, width))
         past = np.zeros(width)
         past[k] = phi[k] * y[t - 1 - k]
@@ -55,6 +66,10 @@ def linear_bayes(y: np.ndarray, phi: np.ndarray, var: float, mu0: float = 0.0, s
     sm, sv = ms[:, 0].copy(), cs[:, 0, 0].copy()
     h, d = ms[-1], cs[-1]
     for t in range(n - 2, -1, -1):
+        if discount:
+            sm[t] = (1 - discount) * ms[t, 0] + discount * sm[t + 1]
+            sv[t] = (1 - discount) * cs[t, 0, 0] + discount**2 * sv[t + 1]
+            continue
         b = cs[t] @ g.T @ np.linalg.pinv(rs[t + 1])
         h = ms[t] + b @ (h - means[t + 1])
         d = cs[t] + b @ (d - rs[t + 1]) @ b.T

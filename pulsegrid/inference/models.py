@@ -96,12 +96,38 @@ class SeriesModel:
         return float(f), out
 
 
+class ZeroChains:
+    """Zero inflation by series. With ``chance`` = (b0, b1), log odds of z_t = 1 are b0 + b1 z_(t - 1), and a count is 0 where z is; without it all cells are on.
+
+    ``renew_zeros`` draws the chains by filter and backward draw, then b0 and b1 by a random walk; ``on`` has the chains.
+    """
+
+    def renew_zeros(self, rng: np.random.Generator, lam: np.ndarray, size: float, observation: str = "nbinomm") -> dict[str, np.ndarray]:
+        if self.chance is None:
+            return {}
+        loglik = log_density(self.y, lam, observation, size)
+        for s in range(self.ns):
+            filtered = zero_filter(self.y[:, s], loglik[:, s], *self.chance)
+            self.on[:, s] = zero_backward(rng, filtered, *self.chance)
+
+        def log_density_of(b: np.ndarray) -> float:
+            odds = b[0] + b[1] * self.on[:-1]
+            return float((self.on[1:] * odds - np.logaddexp(0, odds)).sum() - 0.5 * ((b / 3) ** 2).sum())
+
+        new = self.chance + 0.3 * rng.standard_normal(2)
+        if np.log(rng.random()) < log_density_of(new) - log_density_of(self.chance):
+            self.chance = new
+        return {"zero_chance": self.chance.copy(), "on": self.on.mean(0)}
+
+
 @dataclass
-class NetworkModel:
+class NetworkModel(ZeroChains):
     """Poisson counts with lambda = mu + Phi (R o Y) alpha'. alpha: horseshoe weights with retention, or gravity only.
 
+    Retention is inv_logit(logit_k + sum of slope_p x_pkt) with ``covariates`` (p x times x places), at the source's time; counts are zero-inflated with ``zero``.
+
     Parameters: eta (times x places), log mu, log W, log rho_dist, retention logits, with ``horseshoe`` effects z with log local and log global scales,
-    whose variances a slab of variance ``slab`` bounds, and with ``mobility`` (positive off the diagonal) log rho_mobility. Retention has no covariates, counts no zero inflation.
+    whose variances a slab of variance ``slab`` bounds, with ``mobility`` (positive off the diagonal) log rho_mobility, and with ``covariates`` the slopes.
     """
 
     y: np.ndarray
@@ -110,9 +136,13 @@ class NetworkModel:
     horseshoe: bool = True
     mobility: np.ndarray | None = None
     slab: float = 4.0
+    covariates: np.ndarray | None = None
+    zero: tuple[float, float] | None = None
 
     def __post_init__(self) -> None:
         self.n, self.ns = self.y.shape
+        self.chance = None if self.zero is None else np.array(self.zero, dtype=float)
+        self.on, self.trace = np.ones_like(self.y), []
         self.moved = None if self.mobility is None else centre_columns(np.log(np.where(np.eye(self.ns, dtype=bool), 1.0, self.mobility)))
         self.conv = band(self.phi, self.n)
         self.d = centre_columns(self.dist)
@@ -120,7 +150,7 @@ class NetworkModel:
 
     def parts(self, x: np.ndarray) -> dict[str, np.ndarray]:
         n, ns = self.n, self.ns
-        blocks = {"eta": n * ns, "static": 3, "logit": ns} | ({"z": ns * ns, "local": ns * ns, "tau": ns} if self.horseshoe else {}) | ({} if self.moved is None else {"mobility": 1})
+        blocks = {"eta": n * ns, "static": 3, "logit": ns} | ({"z": ns * ns, "local": ns * ns, "tau": ns} if self.horseshoe else {}) | ({} if self.moved is None else {"mobility": 1}) | ({} if self.covariates is None else {"slope": len(self.covariates)})
         cuts = np.cumsum(list(blocks.values()))
         p = dict(zip(blocks, np.split(x, cuts[:-1]), strict=False))
         p["eta"] = p["eta"].reshape(n, ns)
@@ -130,7 +160,7 @@ class NetworkModel:
         return p
 
     def size(self) -> int:
-        return self.n * self.ns + 3 + self.ns + self.horseshoe * (2 * self.ns * self.ns + self.ns) + (self.moved is not None)
+        return self.n * self.ns + 3 + self.ns + self.horseshoe * (2 * self.ns * self.ns + self.ns) + (self.moved is not None) + (0 if self.covariates is None else len(self.covariates))
 
     def start(self) -> np.ndarray:
         x = np.zeros(self.size())
@@ -146,8 +176,15 @@ class NetworkModel:
         share = self.slab / (self.slab + s * s)
         return s * np.sqrt(share), share
 
-    def weights(self, p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-        w = 1 / (1 + np.exp(-p["logit"]))
+    def retention(self, p: dict[str, np.ndarray]) -> np.ndarray:
+        """Times x places, the same at all times without covariates."""
+        odds = np.broadcast_to(p["logit"], (self.n, self.ns))
+        if self.covariates is not None:
+            odds = odds + np.tensordot(p["slope"], self.covariates, 1)
+        return 1 / (1 + np.exp(-odds))
+
+    def spread(self, p: dict[str, np.ndarray]) -> tuple[np.ndarray, float, np.ndarray]:
+        """Where what isn't retained goes (columns sum to one, diagonal 0), with rho_dist and the effects."""
         rho = np.exp(p["static"][2])
         v = -rho * self.d
         if self.moved is not None:
@@ -156,31 +193,44 @@ class NetworkModel:
         if self.horseshoe:
             theta = np.where(self.off, p["z"] * self.scales(p)[0], 0.0)
             v = v + centre_columns(theta)
-        soft = off_diagonal_softmax(v)
-        return soft * (1 - w) + np.diag(w), soft, w, rho, theta
+        return off_diagonal_softmax(v), rho, theta
+
+    def intensity(self, x: np.ndarray) -> np.ndarray:
+        p = self.parts(x)
+        cases = gain(np.cumsum(p["eta"] * np.exp(0.5 * p["static"][1]), 0)) * self.y
+        w = self.retention(p)
+        return np.exp(p["static"][0]) + self.conv @ (cases * (1 - w)) @ self.spread(p)[0].T + self.conv @ (cases * w)
+
+    def renew(self, rng: np.random.Generator, x: np.ndarray) -> np.ndarray:
+        self.trace.append(self.renew_zeros(rng, self.intensity(x), 1.0, "poisson"))
+        return x
 
     def target(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         p = self.parts(x)
         if _outside(p["static"][0], "mean") or _outside(p["static"][1], "var") or _outside(p["static"][2], "scale") or any(_outside(p[k], "scale") for k in ("local", "tau", "mobility") if k in p):
             return -np.inf, np.zeros_like(x)
-        alpha, soft, w, rho, theta = self.weights(p)
+        soft, rho, theta = self.spread(p)
+        w = self.retention(p)
         mu, sd = np.exp(p["static"][0]), np.exp(0.5 * p["static"][1])
         psi = np.cumsum(p["eta"] * sd, 0)
-        force = self.conv @ (gain(psi) * self.y)
-        lam = mu + force @ alpha.T
-        f = log_density(self.y, lam, "poisson", 1)[1:].sum()
-        g = log_density_slope(self.y, lam, "poisson", 1)
+        cases = gain(psi) * self.y
+        sent = self.conv @ (cases * (1 - w))
+        lam = mu + sent @ soft.T + self.conv @ (cases * w)
+        f = (log_density(self.y, lam, "poisson", 1) * self.on)[1:].sum()
+        g = log_density_slope(self.y, lam, "poisson", 1) * self.on
         g[0] = 0
-        dalpha, dforce = g.T @ force, g @ alpha
-        dpsi = (self.conv.T @ dforce) * self.y * gain_slope(psi)
+        kept = self.conv.T @ g
+        left = kept @ soft
+        dpsi = (left * (1 - w) + kept * w) * self.y * gain_slope(psi)
         dw = np.cumsum(dpsi[::-1], 0)[::-1]
         eta = p["eta"]
         d_eta = dw * sd - eta
         d_static = np.array([g.sum() * mu, 0.5 * sd * (dw * eta).sum(), 0.0])
-        ds = dalpha * (1 - w)
+        ds = g.T @ sent
         dv = np.where(self.off, soft * (ds - (soft * ds).sum(0)), 0.0)
         d_static[2] = -rho * (dv * self.d).sum()
-        d_logit = (np.diag(dalpha) - (dalpha * soft).sum(0)) * w * (1 - w)
+        d_odds = cases * (kept - left) * w * (1 - w)
+        d_logit = d_odds.sum(0)
         f -= 0.5 * (eta * eta).sum()
         for i, (mean, spread) in enumerate(((0.0, 2.0), (-4.0, 1.5), (0.0, 1.0))):
             a, b = _normal(p["static"][i], mean, spread)
@@ -202,6 +252,10 @@ class NetworkModel:
             a, b = _normal(p["mobility"], 0.0, 1.0)
             f += a
             parts.append(np.exp(p["mobility"]) * (dv * self.moved).sum() + b)
+        if self.covariates is not None:
+            a, b = _normal(p["slope"], 0.0, 1.0)
+            f += a
+            parts.append((self.covariates * d_odds).sum((1, 2)) + b)
         return float(f), np.concatenate(parts)
 
 
@@ -211,12 +265,8 @@ def _size_slope(y: np.ndarray, lam: np.ndarray, size: float, on: np.ndarray, e:
     return float((up - down)[1:].sum() / (2 * e))
 
 
-class PanelBlocks:
-    """What panel models share: fields over a graph (``graph``, ``prior``, ``ns``), whose hyperparameters are drawn anew, and zero inflation.
-
-    With ``zero`` given as (b0, b1), each series has a chain z of its own: log odds of z_t = 1 are b0 + b1 z_(t - 1), and a count is 0 where z is.
-    ``renew_zeros`` draws the chains by filter and backward draw, then b0 and b1 by a random walk; ``on`` has the chains. Without it all cells are on.
-    """
+class PanelBlocks(ZeroChains):
+    """What panel models share: fields over a graph (``graph``, ``prior``, ``ns``), whose hyperparameters are drawn anew, and zero inflation from ``zero``."""
 
     def set_up(self, zero: tuple[float, float] | None) -> None:
         self.n, self.ns = self.y.shape
@@ -229,23 +279,6 @@ class PanelBlocks:
         self.on = np.ones_like(self.y)
         self.trace: list[dict[str, np.ndarray]] = []
 
-    def renew_zeros(self, rng: np.random.Generator, lam: np.ndarray, size: float) -> dict[str, np.ndarray]:
-        if self.chance is None:
-            return {}
-        loglik = log_density(self.y, lam, "nbinomm", size)
-        for s in range(self.ns):
-            filtered = zero_filter(self.y[:, s], loglik[:, s], *self.chance)
-            self.on[:, s] = zero_backward(rng, filtered, *self.chance)
-
-        def log_density_of(b: np.ndarray) -> float:
-            odds = b[0] + b[1] * self.on[:-1]
-            return float((self.on[1:] * odds - np.logaddexp(0, odds)).sum() - 0.5 * ((b / 3) ** 2).sum())
-
-        new = self.chance + 0.3 * rng.standard_normal(2)
-        if np.log(rng.random()) < log_density_of(new) - log_density_of(self.chance):
-            self.chance = new
-        return {"zero_chance": self.chance.copy(), "on": self.on.mean(0)}
-
     def _root(self, rho: float, tau: float) -> np.ndarray:
         cov = np.linalg.inv(self.graph.precision(rho)) / tau if self.prior == "car" else self.graph.covariance(tau, rho)
         return np.linalg.cholesky(cov + 1e-9 * np.eye(self.ns))
@@ -534,20 +567,17 @@ class AutoregressiveModel(PanelBlocks):
         return float(f), grad
 
 
-def run_chains(panel: DataFrame, build, names, n_chains: int, n_burn: int, n_keep: int, seed: int = 1, edges: DataFrame | None = None) -> DataFrame:
-    """Chains of a model over a panel that fits one kernel: (chain, iter, param, idx, value), one Arrow group a chain.
+def deal_chains(panel: DataFrame, kernel, n_chains: int, seed: int = 1, edges: DataFrame | None = None) -> DataFrame:
+    """(chain, iter, param, idx, value) of ``kernel(seed, pdf)``, or ``kernel(seed, pdf, edges)``, which gives {param: draws x idx}; one Arrow group a chain.
 
-    ``build(pdf)``, or ``build(pdf, edges)`` with ``edges`` given, makes the model from all their rows; ``names(model, draws)`` gives {param: draws x idx}. Parallel over chains.
+    Each chain gets all rows of the panel, which fits one kernel. Parallel over chains.
     """
     from pyspark.sql import functions as F
 
     def chain(key: tuple, *frames: pd.DataFrame) -> pd.DataFrame:
-        model = build(*frames)
-        rng = np.random.SeedSequence([seed, int(key[0])])
-        draws, _ = hmc.sample(model.target, model.start(), rng, n_burn, n_keep, renew=getattr(model, "renew", None))
         out = []
-        for param, x in names(model, draws).items():
-            x = np.asarray(x).reshape(n_keep, -1)
+        for param, x in kernel(np.random.SeedSequence([seed, int(key[0])]), *frames).items():
+            x = np.asarray(x).reshape(len(x), -1)
             it, idx = np.divmod(np.arange(x.size), x.shape[1])
             out.append(pd.DataFrame({"chain": int(key[0]), "iter": it + 1, "param": param, "idx": idx, "value": x.ravel()}))
         return pd.concat(out)
@@ -561,3 +591,14 @@ def run_chains(panel: DataFrame, build, names, n_chains: int, n_burn: int, n_kee
     deal = lambda df: df.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(n_chains)))).groupBy("chain")
     schema = "chain int, iter int, param string, idx int, value double"
     return deal(panel).applyInPandas(run, schema) if edges is None else deal(panel).cogroup(deal(edges)).applyInPandas(run_with_edges, schema)
+
+
+def run_chains(panel: DataFrame, build, names, n_chains: int, n_burn: int, n_keep: int, seed: int = 1, edges: DataFrame | None = None) -> DataFrame:
+    """HMC chains of a model over a panel: ``build(pdf)``, or ``build(pdf, edges)``, makes the model; ``names(model, draws)`` gives {param: draws x idx}."""
+
+    def kernel(chain_seed, *frames: pd.DataFrame) -> dict[str, np.ndarray]:
+        model = build(*frames)
+        draws, _ = hmc.sample(model.target, model.start(), chain_seed, n_burn, n_keep, renew=getattr(model, "renew", None))
+        return names(model, draws)
+
+    return deal_chains(panel, kernel, n_chains, seed, edges)

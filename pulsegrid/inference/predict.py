@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.convolve import network_intensity
+from .kernels import band, gain, gain_inverse, observe
 from .simulate import long_panel, random_walk, simulate_network_array
 
 
@@ -75,3 +76,37 @@ def forecast(panel: DataFrame, r: DataFrame, alpha: DataFrame, phi: np.ndarray,
         return pd.DataFrame({"sample": int(key[0]), "s": ids[out["s"]], "t": out["t"] + n, "y": out["y"]})
 
     return cells.unionByName(edges).groupBy("sample").applyInPandas(run, "sample int, s int, t int, y double")
+
+
+def series_predictive(chains: DataFrame, series: DataFrame, phi: np.ndarray, n_chains: int, steps: int = 0, observation: str = "nbinomm", gain_name: str = "softplus", seed: int = 1) -> DataFrame:
+    """Counts of a single series drawn from its posterior: (chain, iter, t, lam, x). Observed times (from 1) are given the observed past; ``steps`` more feed drawn counts back.
+
+    ``chains``: chain, iter, param, idx, value with mu, W, size and R (idx = t), chains 1 to ``n_chains``; ``series``: t, y, all of t = 0, 1, ... A chain is one group, draws x times.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or seen.empty:
+            return pd.DataFrame({"chain": [], "iter": [], "t": [], "lam": [], "x": []})
+        rng = np.random.default_rng(np.random.SeedSequence([seed, int(key[0])]))
+        y = seen.sort_values("t")["y"].to_numpy()
+        n = len(y)
+        one = lambda name: pdf[pdf["param"] == name].pivot(index="iter", columns="idx", values="value")
+        r, mu, var, size = one("R"), one("mu").to_numpy(), one("W").to_numpy(), one("size").to_numpy()
+        iters, h = r.index.to_numpy(), r.to_numpy()
+        full = np.hstack([np.tile(y, (len(h), 1)), np.zeros((len(h), steps))])
+        psi = gain_inverse(h[:, -1:], gain_name) + np.cumsum(np.sqrt(var) * rng.standard_normal((len(h), steps)), 1)
+        h = np.hstack([h, gain(psi, gain_name)])
+        # the gain stands one step after the count
+        force = np.hstack([h[:, 1:n] * y[: n - 1], np.zeros((len(h), 1))])
+        lam = np.hstack([mu + force @ band(phi, n).T, np.zeros((len(h), steps))])
+        x = np.zeros_like(lam)
+        x[:, :n] = observe(rng, lam[:, :n], observation, size)
+        for t in range(n, n + steps):
+            k = np.arange(1, min(t, len(phi)) + 1)
+            lam[:, [t]] = mu + (phi[k - 1] * h[:, t + 1 - k] * full[:, t - k]).sum(1, keepdims=True)
+            x[:, [t]] = full[:, [t]] = observe(rng, lam[:, [t]], observation, size)
+        shape = lam[:, 1:].shape
+        return pd.DataFrame({"chain": int(key[0]), "iter": np.repeat(iters, shape[1]), "t": np.tile(np.arange(1, n + steps), shape[0]), "lam": lam[:, 1:].ravel(), "x": x[:, 1:].ravel()})
+
+    every = series.select(F.explode(F.sequence(F.lit(1), F.lit(n_chains))).alias("chain"), "t", "y")
+    return chains.groupBy("chain").cogroup(every.groupBy("chain")).applyInPandas(run, "chain int, iter int, t int, lam double, x double")

@@ -52,8 +52,11 @@ def simulate_panel_array(rng, w_adj: np.ndarray, n: int, phi: np.ndarray, alpha:
     return y, h
 
 
-def simulate_network_array(rng, alpha: np.ndarray, r: np.ndarray, phi: np.ndarray, mu: float, start: np.ndarray | None = None) -> np.ndarray:
-    """Counts of a branching network, times x places; ``start``: counts to go on from. ``r`` covers all times."""
+def simulate_network_array(rng, alpha: np.ndarray, r: np.ndarray, phi: np.ndarray, mu: float, start: np.ndarray | None = None, z: np.ndarray | None = None) -> np.ndarray:
+    """Counts of a branching network, times x places; ``start``: counts to go on from. ``r`` covers all times, as does ``z``, whose zeros make counts 0.
+
+    ``alpha`` may have the source's time as its first axis.
+    """
     n, ns = r.shape
     y = np.zeros((n, ns))
     t0 = 0 if start is None else len(start)
@@ -61,8 +64,9 @@ def simulate_network_array(rng, alpha: np.ndarray, r: np.ndarray, phi: np.ndarra
         y[:t0] = start
     for t in range(t0, n):
         k = np.arange(1, min(t, len(phi)) + 1)
-        force = (phi[k - 1][:, None] * r[t - k] * y[t - k]).sum(0) if len(k) else np.zeros(ns)
-        y[t] = rng.poisson(np.maximum(mu + alpha @ force, EPS))
+        force = phi[k - 1][:, None] * r[t - k] * y[t - k]
+        came = np.einsum("lsk,lk->s", alpha[t - k], force) if alpha.ndim == 3 else alpha @ force.sum(0)
+        y[t] = rng.poisson(np.maximum(mu + came, EPS)) * (1.0 if z is None else z[t])
     return y
 
 

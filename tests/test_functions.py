@@ -152,6 +152,54 @@ def test_spatial_priors():
     assert np.allclose(spatial.inverse(np.diag([2.0, 4.0])), np.diag([0.5, 0.25]))
 
 
+@pytest.mark.parametrize("horseshoe", [True, False])
+def test_retention_covariates_and_zeros_of_the_network_model(horseshoe):
+    rng = np.random.default_rng(4)
+    i = np.arange(4)
+    y, dist, phi = rng.poisson(6, (12, 4)).astype(float), np.abs(i[:, None] - i) / 3.0, special.lag_weights()
+    x = rng.normal(size=(2, 12, 4))
+    m = models.NetworkModel(y, dist, phi, horseshoe, covariates=x, zero=(-1.0, 2.0))
+    m.on[3:5, 1] = 0
+    at = m.start() + 0.3 * rng.standard_normal(m.size())
+    assert np.allclose(m.target(at)[1], hmc.numeric_gradient(lambda z: m.target(z)[0], at), atol=1e-5)
+    # against the definition, cell by cell: retention acts at the source's time
+    p = m.parts(at)
+    w, (soft, _, _) = m.retention(p), m.spread(p)
+    r = kernels.gain(np.cumsum(p["eta"] * np.exp(0.5 * p["static"][1]), 0))
+    for t, s in ((1, 0), (5, 2), (11, 3)):
+        want = np.exp(p["static"][0]) + sum(phi[t - u - 1] * r[u, k] * y[u, k] * (w[u, k] if k == s else (1 - w[u, k]) * soft[s, k]) for u in range(max(0, t - len(phi)), t) for k in range(4))
+        assert m.intensity(at)[t, s] == pytest.approx(want)
+
+
+def test_network_model_draws_zeros():
+    rng = np.random.default_rng(5)
+    i = np.arange(3)
+    z = np.column_stack([simulate.zero_chain(rng, 80, -1.0, 3.0) for _ in i])
+    y = rng.poisson(9, (80, 3)) * z
+    m = models.NetworkModel(y, np.abs(i[:, None] - i) / 2.0, special.lag_weights(), False, zero=(0.0, 1.0))
+    x = m.start()
+    x[m.n * m.ns] = np.log(8.0)
+    for _ in range(20):
+        m.renew(rng, x)
+    assert (m.on[y > 0] == 1).all() and m.on[1:][y[1:] == 0].mean() < 0.1
+
+
+@pytest.mark.parametrize("kind", ["first_elem", "all_lag_elems", "all_elems"])
+def test_discounts_of_the_filter(kind):
+    rng = np.random.default_rng(5)
+    phi = special.lag_weights()
+    df = simulate.simulate_series(rng, 150, phi, 0.01, 5.0, 0.5)
+    y = df.y.to_numpy()
+    out = filters.linear_bayes(y, phi, 0.0, 5.0, discount=0.9, discount_type=kind, reference=True)
+    k = len(phi)
+    assert np.isfinite(np.column_stack(list(out.values()))).all() and len(set(out["m"][1 : k + 1])) == 1 and out["m"][k + 1] != out["m"][k]
+    t = 70
+    assert out["smooth"][t] == pytest.approx(0.1 * out["m"][t] + 0.9 * out["smooth"][t + 1])
+    assert np.allclose(filters.linear_bayes(y, phi, 0.0, 5.0, discount=1.0, discount_type=kind)["m"], filters.linear_bayes(y, phi, 0.0, 5.0)["m"])
+    with pytest.raises(ValueError):
+        filters.linear_bayes(y, phi, 0.0, 5.0, discount=0.9, discount_type="other")
+
+
 def _models():
     rng = np.random.default_rng(1)
     y = rng.poisson(6, (14, 4)).astype(float)
