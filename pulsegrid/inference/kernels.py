@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from ..config import EPS, GAINS, OBSERVATIONS, UPPER, known
+from ..config import EPS, GAINS, LINKS, OBSERVATIONS, UPPER, known
 
 
 def gain(psi: np.ndarray, name: str = "softplus") -> np.ndarray:
@@ -44,6 +44,16 @@ def gain_inverse(h: np.ndarray, name: str = "softplus") -> np.ndarray:
     return h
 
 
+def link(x: np.ndarray, name: str = "identity") -> np.ndarray:
+    """The mean (of nbinomp, the chance) of a linear predictor."""
+    match known(name, LINKS, "link"):
+        case "exponential":
+            return np.exp(np.minimum(x, UPPER))
+        case "logistic":
+            return 1 / (1 + np.exp(-np.clip(x, -UPPER, UPPER)))
+    return x
+
+
 def band(phi: np.ndarray, n: int) -> np.ndarray:
     """Phi with Phi[t, l] = phi_(t - l): convolution of times 0..n - 1 as one matrix product."""
     out = np.zeros((n, n))

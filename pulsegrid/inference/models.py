@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..config import LagSpec
+from ..config import OBSERVATIONS, LagSpec, known
 from ..functions.special import lag_gradient, lag_weights
 from . import hmc
 from .filters import zero_backward, zero_filter
@@ -30,61 +30,115 @@ def _outside(x: np.ndarray, kind: str) -> bool:
     return bool(np.any(x < low) or np.any(x > high) or np.any(np.isnan(x)))
 
 
+class ZeroChains:
+    """Zero inflation by series. With ``chance`` = (b0, b1), log odds of z_t = 1 are b0 + b1 z_(t - 1), and a count is 0 where z is; without it all cells are on.
+
+    ``renew_zeros`` draws the chains by filter and backward draw, then b0 and b1 by a random walk; ``on`` has the chains.
+    """
+
+    def renew_zeros(self, rng: np.random.Generator, lam: np.ndarray, size: float, observation: str = "nbinomm") -> dict[str, np.ndarray]:
+        if self.chance is None:
+            return {}
+        loglik = log_density(self.y, lam, observation, size)
+        y, loglik, on = (x.reshape(self.n, -1) for x in (self.y, loglik, self.on))
+        for s in range(y.shape[1]):
+            on[:, s] = zero_backward(rng, zero_filter(y[:, s], loglik[:, s], *self.chance), *self.chance)
+
+        def log_density_of(b: np.ndarray) -> float:
+            odds = b[0] + b[1] * self.on[:-1]
+            return float((self.on[1:] * odds - np.logaddexp(0, odds)).sum() - 0.5 * ((b / 3) ** 2).sum())
+
+        new = self.chance + 0.3 * rng.standard_normal(2)
+        if np.log(rng.random()) < log_density_of(new) - log_density_of(self.chance):
+            self.chance = new
+        return {"zero_chance": self.chance.copy(), "on": self.on.mean(0)}
+
+
 @dataclass
-class SeriesModel:
-    """lambda_t = mu + sum of phi_k h(psi_(t + 1 - k)) y_(t - k). Parameters: eta (w = eta sqrt(W)), log mu, log W, log size, and with ``fit_lag`` the lag's two."""
+class SeriesModel(ZeroChains):
+    """lambda_t = mu + season + sum of phi_k h(psi_(t + 1 - k)) y_(t - k).
+
+    Parameters: eta (w = eta sqrt(W)), log mu, log W, log size, with ``period`` the logs of the seasons' effects (t mod period), and with ``fit_lag`` the lag's two.
+    The size is the gaussian's variance; the Poisson has none. Counts are zero-inflated with ``zero``.
+    """
 
     y: np.ndarray
     lag: LagSpec = LagSpec()
     observation: str = "nbinomm"
     gain_name: str = "softplus"
     fit_lag: bool = False
+    period: int = 0
+    zero: tuple[float, float] | None = None
 
     def __post_init__(self) -> None:
+        self.observation = known(self.observation, OBSERVATIONS, "observation")
+        if self.observation == "nbinomp":
+            raise ValueError("the series model has no nbinomp form")
         self.n, self.width = len(self.y), len(lag_weights(self.lag))
+        self.chance = None if self.zero is None else np.array(self.zero, dtype=float)
+        self.on, self.trace = np.ones(self.n), []
 
     def size(self) -> int:
-        return self.n + 3 + 2 * self.fit_lag
+        return self.n + 3 + self.period + 2 * self.fit_lag
 
     def start(self) -> np.ndarray:
         x = np.zeros(self.size())
         x[self.n : self.n + 3] = np.log(max(self.y[1:].min(), 0.1)), np.log(0.01), np.log(20.0)
+        x[self.n + 3 : self.n + 3 + self.period] = -1.0
         if self.fit_lag:
             x[-2:] = self.lag.par1, np.log(self.lag.par2)
         return x
 
-    def target(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+    def _parts(self, x: np.ndarray) -> dict[str, np.ndarray]:
         n = self.n
-        eta, (log_mu, log_w, log_size) = x[:n], x[n : n + 3]
-        if _outside(log_mu, "mean") or _outside(log_w, "var") or _outside(log_size, "size") or (self.fit_lag and _outside(x[-1:], "size")):
-            return -np.inf, np.zeros_like(x)
-        size, sd, mu = np.exp(log_size), np.exp(0.5 * log_w), np.exp(log_mu)
+        log_mu, log_w, log_size = x[n : n + 3]
         lag = LagSpec(self.lag.name, x[-2], float(np.exp(x[-1])), self.width) if self.fit_lag else self.lag
-        phi = lag_weights(lag)
-        psi = np.cumsum(eta * sd)
-        h = gain(psi, self.gain_name)
+        psi = np.cumsum(x[:n] * np.exp(0.5 * log_w))
+        h, conv = gain(psi, self.gain_name), band(lag_weights(lag), n)
         # the gain stands one step after the count: source l carries h_(l + 1) y_l
         force = np.append(h[1:], 0.0) * self.y
-        conv = band(phi, n)
-        lam = mu + conv @ force
-        f = log_density(self.y, lam, self.observation, size)[1:].sum()
-        g = log_density_slope(self.y, lam, self.observation, size)
+        season = np.exp(x[n + 3 : n + 3 + self.period])
+        effect = season[np.arange(n) % self.period] if self.period else 0.0
+        return {"lag": lag, "psi": psi, "conv": conv, "force": force, "season": season, "lam": np.exp(log_mu) + effect + conv @ force, "size": np.exp(log_size)}
+
+    def intensity(self, x: np.ndarray) -> np.ndarray:
+        return self._parts(x)["lam"]
+
+    def renew(self, rng: np.random.Generator, x: np.ndarray) -> np.ndarray:
+        p = self._parts(x)
+        self.trace.append(self.renew_zeros(rng, p["lam"], p["size"], self.observation))
+        return x
+
+    def target(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        n, k = self.n, self.period
+        eta, (log_mu, log_w, log_size), logs = x[:n], x[n : n + 3], x[n + 3 : n + 3 + k]
+        if _outside(log_mu, "mean") or _outside(log_w, "var") or _outside(log_size, "size") or _outside(logs, "mean") or (self.fit_lag and _outside(x[-1:], "size")):
+            return -np.inf, np.zeros_like(x)
+        p = self._parts(x)
+        lag, lam, size, force, sd = p["lag"], p["lam"], p["size"], p["force"], np.exp(0.5 * log_w)
+        density = lambda v: (log_density(self.y, lam, self.observation, v) * self.on)[1:].sum()
+        f = density(size)
+        g = log_density_slope(self.y, lam, self.observation, size) * self.on
         g[0] = 0
-        back = conv.T @ g
-        dpsi = np.append(0.0, (back * self.y)[:-1]) * gain_slope(psi, self.gain_name)
+        back = p["conv"].T @ g
+        dpsi = np.append(0.0, (back * self.y)[:-1]) * gain_slope(p["psi"], self.gain_name)
         dw = np.cumsum(dpsi[::-1])[::-1]
         out = np.zeros_like(x)
         out[:n] = dw * sd - eta
-        out[n] = g.sum() * mu
+        out[n] = g.sum() * np.exp(log_mu)
         out[n + 1] = 0.5 * sd * (dw @ eta)
-        if self.observation == "nbinomm":
+        if self.observation != "poisson":
             e = 1e-5
-            out[n + 2] = (log_density(self.y, lam, self.observation, size * np.exp(e))[1:].sum() - log_density(self.y, lam, self.observation, size * np.exp(-e))[1:].sum()) / (2 * e)
+            out[n + 2] = (density(size * np.exp(e)) - density(size * np.exp(-e))) / (2 * e)
         f -= 0.5 * eta @ eta
         for i, (mean, spread) in enumerate(((0.0, 2.0), (-4.0, 1.5), (3.0, 1.0))):
             a, b = _normal(x[n + i], mean, spread)
             f += a
             out[n + i] += b
+        if k:
+            a, b = _normal(logs, -1.0, 1.5)
+            f += a
+            out[n + 3 : n + 3 + k] = np.bincount(np.arange(n) % k, g, k) * p["season"] + b
         if self.fit_lag:
             slopes = lag_gradient(lag)
             shifted = np.array([[force[t - d] if t >= d else 0.0 for d in range(1, self.width + 1)] for t in range(n)])
@@ -96,30 +150,6 @@ class SeriesModel:
         return float(f), out
 
 
-class ZeroChains:
-    """Zero inflation by series. With ``chance`` = (b0, b1), log odds of z_t = 1 are b0 + b1 z_(t - 1), and a count is 0 where z is; without it all cells are on.
-
-    ``renew_zeros`` draws the chains by filter and backward draw, then b0 and b1 by a random walk; ``on`` has the chains.
-    """
-
-    def renew_zeros(self, rng: np.random.Generator, lam: np.ndarray, size: float, observation: str = "nbinomm") -> dict[str, np.ndarray]:
-        if self.chance is None:
-            return {}
-        loglik = log_density(self.y, lam, observation, size)
-        for s in range(self.ns):
-            filtered = zero_filter(self.y[:, s], loglik[:, s], *self.chance)
-            self.on[:, s] = zero_backward(rng, filtered, *self.chance)
-
-        def log_density_of(b: np.ndarray) -> float:
-            odds = b[0] + b[1] * self.on[:-1]
-            return float((self.on[1:] * odds - np.logaddexp(0, odds)).sum() - 0.5 * ((b / 3) ** 2).sum())
-
-        new = self.chance + 0.3 * rng.standard_normal(2)
-        if np.log(rng.random()) < log_density_of(new) - log_density_of(self.chance):
-            self.chance = new
-        return {"zero_chance": self.chance.copy(), "on": self.on.mean(0)}
-
-
 @dataclass
 class NetworkModel(ZeroChains):
     """Poisson counts with lambda = mu + Phi (R o Y) alpha'. alpha: horseshoe weights with retention, or gravity only.

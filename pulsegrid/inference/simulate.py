@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import EPS, ERRORS, known
-from .kernels import gain, observe
+from ..config import EPS, ERRORS, ModelSpec, known
+from ..functions.special import iterative_coefficients, lag_weights
+from .kernels import gain, link, observe
 
 
 def random_walk(rng: np.random.Generator, n: int, var: float, error: str = "gaussian", cols: int | None = None) -> np.ndarray:
@@ -40,6 +41,23 @@ def simulate_series(rng, n: int, phi: np.ndarray, var: float, mu0: float, psi0:
     return pd.DataFrame({"t": np.arange(n + 1, dtype=np.int32), "y": y, "psi": psi, "lam": lam})
 
 
+def simulate_model(rng, spec: ModelSpec, n: int, var: float, mu0: float, psi0: float = 0.0, size: float = 30.0, season: np.ndarray | None = None, z: np.ndarray | None = None) -> pd.DataFrame:
+    """A single series as ``spec`` says: f by its system's transfer, lambda = link(mu0 + season + f), y an observation of it, 0 where ``z`` is."""
+    psi = psi0 + np.cumsum(random_walk(rng, n + 1, var, spec.error))
+    h, f, y, lam = gain(psi, spec.gain), np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    if iterative := spec.transfer == "iterative":
+        c, last = iterative_coefficients(spec.lag.par1, int(spec.lag.par2)), (1 - spec.lag.par1) ** int(spec.lag.par2)
+    else:
+        phi = lag_weights(spec.lag)
+    for t in range(n + 1):
+        k = np.arange(1, min(t, len(c) if iterative else len(phi)) + 1)
+        if t:
+            f[t] = c[k - 1] @ f[t - k] + last * h[t] * y[t - 1] if iterative else (phi[k - 1] * h[t + 1 - k] * y[t - k]).sum()
+        lam[t] = link(mu0 + (season[t % len(season)] if season is not None else 0.0) + f[t], spec.link)
+        y[t] = (1.0 if z is None else z[t]) * observe(rng, np.array(max(lam[t], EPS)), spec.observation, size)
+    return pd.DataFrame({"t": np.arange(n + 1, dtype=np.int32), "y": y, "psi": psi, "lam": lam})
+
+
 def simulate_panel_array(rng, w_adj: np.ndarray, n: int, phi: np.ndarray, alpha: np.ndarray, beta: np.ndarray, noise: np.ndarray, size: float = 30.0) -> tuple[np.ndarray, np.ndarray]:
     """y and R, n + 1 x places: lambda = exp(alpha_s) + f_st + exp(beta_s) sum of W y_(t - 1). ``noise``: disturbances, iid or drawn from a spatial prior."""
     psi = np.cumsum(noise, 0)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..functions.special import iterative_coefficients
+from ..config import ModelSpec
+from ..functions.special import iterative_coefficients, lag_weights
 from .kernels import gain
 
 
@@ -59,3 +60,10 @@ def sliding_transfer(psi: np.ndarray, y: np.ndarray, phi: np.ndarray, gain_name:
         k = np.arange(1, min(t, len(phi)) + 1)
         f[t] = (phi[k - 1] * h[t + 1 - k] * y[t - k]).sum()
     return f
+
+
+def transfer(spec: ModelSpec, psi: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """f_t of a model: the iterative recursion with the lag's (kappa, r), or the sliding sum over its weights."""
+    if spec.transfer == "iterative":
+        return iterative_transfer(psi, y, spec.lag.par1, int(spec.lag.par2), spec.gain)
+    return sliding_transfer(psi, y, lag_weights(spec.lag), spec.gain)

@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import LagSpec
-from ..functions.special import lag_weights
+from ..config import LagSpec, ModelSpec
 from ..inference import augmented, filters, models, predict, samplers, simulate, spatial, spectral
 from ..inference.kernels import observe
 from . import fixtures as fx
@@ -71,9 +70,20 @@ def simulate_temporal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def simulate_iterative(spark: SparkSession, d: str) -> DataFrame:
-    """The iterative transfer as its equal, a sliding one with the whole negative-binomial kernel."""
-    phi = lag_weights(LagSpec("nbinom", 0.395, 6.0, n=50))
-    return simulate.replicates(spark, 4, "t int, y double, psi double, lam double", lambda rng, i: simulate.simulate_series(rng, 100, phi, 0.01, 2.0, 0.3))
+    """The iterative transfer with negative-binomial lags."""
+    spec = ModelSpec(system="nbinom", lag=LagSpec("nbinom", 0.395, 6.0))
+    return simulate.replicates(spark, 4, "t int, y double, psi double, lam double", lambda rng, i: simulate.simulate_model(rng, spec, 100, 0.01, 2.0, 0.3))
+
+
+def simulate_seasonal(spark: SparkSession, d: str) -> DataFrame:
+    """Poisson counts with a season of four and chains of zeros."""
+    spec = ModelSpec("poisson", gain="exponential")
+
+    def kernel(rng, i):
+        z = simulate.zero_chain(rng, 101, -1.0, 2.5)
+        return simulate.simulate_model(rng, spec, 100, 0.005, 2.0, -0.4, season=np.array([0.0, 4.0, 9.0, 2.0]), z=z).assign(z=z)
+
+    return simulate.replicates(spark, 4, "t int, y double, psi double, lam double, z double", kernel)
 
 
 def simulate_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +172,17 @@ def hmc_chain(spark: SparkSession, d: str) -> DataFrame:
     return models.run_chains(_series_total(spark, d), lambda pdf: models.SeriesModel(pdf.sort_values("t")["y"].to_numpy()), names, 2, 150, 150)
 
 
+def infer_series_seasonal(spark: SparkSession, d: str) -> DataFrame:
+    """Two chains over the total of all series with a yearly season and zero inflation."""
+
+    def names(model, draws):
+        n, kept = model.n, model.trace[-len(draws) :]
+        return {"mu": np.exp(draws[:, n]), "W": np.exp(draws[:, n + 1]), "size": np.exp(draws[:, n + 2]), "season": np.exp(draws[:, n + 3 : n + 15])} | {name: np.array([x[name] for x in kept]) for name in kept[0]}
+
+    build = lambda pdf: models.SeriesModel(pdf.sort_values("t")["y"].to_numpy(), period=12, zero=(-1.0, 2.5))
+    return models.run_chains(_series_total(spark, d), build, names, 2, 150, 150)
+
+
 def _wide(pdf: pd.DataFrame) -> np.ndarray:
     return pdf.pivot(index="t", columns="s", values="y").to_numpy()
 
@@ -356,6 +377,6 @@ QUERIES = {
         simulate_temporal, simulate_iterative, simulate_panel, simulate_network, simulate_secondary, zero_inflation_chain,
         lba_filter, zero_inflation_filter, polya_gamma_states, hmc_chain, infer_network, infer_panel, infer_autoregressive, infer_shared_walk,
         posterior_predictive, forecast_network, infer_network_augmented, panel_predictive, series_predictive, forecast_series,
-        gravity_sampler, transmission_sampler, zero_inflation_sampler, simulate_network_inflated, continue_network, lba_filter_discounted,
+        gravity_sampler, transmission_sampler, zero_inflation_sampler, simulate_network_inflated, continue_network, lba_filter_discounted, simulate_seasonal, infer_series_seasonal,
     )
 }

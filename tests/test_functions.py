@@ -207,6 +207,10 @@ def _models():
     v = (np.abs(i[:, None] - i) == 1).astype(float)
     phi = special.lag_weights()
     yield models.SeriesModel(y[:, 0], fit_lag=True)
+    for observation in ("poisson", "gaussian", "nbinom"):
+        seasonal = models.SeriesModel(y[:, 0], observation=observation, gain_name="exponential", fit_lag=observation == "nbinom", period=4, zero=(0.0, 1.0))
+        seasonal.on[5:7] = 0
+        yield seasonal
     for h in (True, False):
         yield models.NetworkModel(y, np.abs(i[:, None] - i) / 3.0, phi, h)
     for a, b, d, p in (("scalar", "vector", "iid", "car"), ("spatial", "spatial", "spatial", "bym2")):
@@ -287,6 +291,28 @@ def test_autoregressive_model_recovers_what_made_its_counts():
     assert np.allclose(got[1:], (0.5, 0.25), atol=0.1) and abs(got[0] - 2.0) < 0.8
 
 
+def test_series_model_recovers_a_season_and_zeros():
+    rng = np.random.default_rng(12)
+    z = simulate.zero_chain(rng, 241, -2.0, 4.0)
+    season = np.array([1.0, 12.0, 30.0, 5.0])
+    df = simulate.simulate_model(rng, config.ModelSpec("poisson"), 240, 0.0, 2.0, -1.0, season=season, z=z)
+    m = models.SeriesModel(df.y.to_numpy(), observation="poisson", period=4, zero=(0.0, 1.0))
+    draws, _ = hmc.sample(m.target, m.start(), 3, 200, 200, renew=m.renew)
+    got = np.exp(draws[:, [m.n]]) + np.exp(draws[:, m.n + 3 : m.n + 7])
+    assert np.allclose(got.mean(0), season + 2, rtol=0.3, atol=1.5)
+    assert (m.on == z)[1:].mean() > 0.9
+
+
+def test_simulated_models_follow_their_transfer():
+    from pulsegrid.inference import statespace
+
+    for spec in (config.ModelSpec(system="nbinom", lag=LagSpec("nbinom", 0.4, 3.0)), config.ModelSpec("poisson", "exponential", gain="identity", lag=LagSpec(n=4)), config.ModelSpec("nbinomp", "logistic", error="constant", lag=LagSpec(n=4))):
+        df = simulate.simulate_model(np.random.default_rng(3), spec, 40, 0.001, -3.0 if spec.link != "identity" else 3.0, -2.0)
+        f = statespace.transfer(spec, df.psi.to_numpy(), df.y.to_numpy())
+        assert np.allclose(df.lam, kernels.link((-3.0 if spec.link != "identity" else 3.0) + f, spec.link))
+    assert set(df.psi) == {-2.0}
+
+
 def test_hmc_recovers_a_gaussian():
     draws, info = hmc.sample(lambda z: (-0.125 * z @ z, -z / 4), np.zeros(4), 3, 400, 1500)
     assert np.allclose(draws.var(0), 4, atol=1.2) and info["accept"] > 0.5

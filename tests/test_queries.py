@@ -25,7 +25,7 @@ def test_oracle(spark, duck, sf_dir, name):
     assert rows(got, columns) == rows(want, columns)
 
 
-@pytest.mark.parametrize("name", ["bym2_scale", "car_draw", "simulate_temporal", "simulate_network", "simulate_secondary", "lba_filter", "zero_inflation_filter", "spectral_radius_quantiles", "forecast_network", "panel_predictive", "series_predictive", "forecast_series", "gravity_sampler", "transmission_sampler", "zero_inflation_sampler", "simulate_network_inflated", "continue_network", "lba_filter_discounted"])
+@pytest.mark.parametrize("name", ["bym2_scale", "car_draw", "simulate_temporal", "simulate_network", "simulate_secondary", "lba_filter", "zero_inflation_filter", "spectral_radius_quantiles", "forecast_network", "panel_predictive", "series_predictive", "forecast_series", "gravity_sampler", "transmission_sampler", "zero_inflation_sampler", "simulate_network_inflated", "continue_network", "lba_filter_discounted", "simulate_iterative", "simulate_seasonal", "infer_series_seasonal"])
 def test_kernels_run(spark, sf_dir, name):
     got = kernel_queries.QUERIES[name](spark, sf_dir).toPandas()
     assert len(got) and not got.isna().any().any()
