@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ..config import ModelSpec
+from ..config import TRANSFERS, ModelSpec, known
 from ..functions.special import iterative_coefficients, lag_weights
 from .kernels import gain
 
@@ -62,8 +62,8 @@ def sliding_transfer(psi: np.ndarray, y: np.ndarray, phi: np.ndarray, gain_name:
     return f
 
 
-def transfer(spec: ModelSpec, psi: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """f_t of a model: the iterative recursion with the lag's (kappa, r), or the sliding sum over its weights."""
-    if spec.transfer == "iterative":
+def transfer(spec: ModelSpec, psi: np.ndarray, y: np.ndarray, name: str | None = None) -> np.ndarray:
+    """f_t of a model, or of the transfer ``name``: the iterative recursion with the lag's (kappa, r), or the sliding sum over its weights."""
+    if (known(name, TRANSFERS, "transfer") if name else spec.transfer) == "iterative":
         return iterative_transfer(psi, y, spec.lag.par1, int(spec.lag.par2), spec.gain)
     return sliding_transfer(psi, y, lag_weights(spec.lag), spec.gain)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import LOSSES, known
+
 
 def crps(draws: DataFrame, keys: list[str], value: str = "x", truth: str = "y") -> DataFrame:
     """mean |x - y| - sum (2 k - (n - 1)) x_(k) / n^2 over sorted draws (k from 0), not below 0.
@@ -39,6 +41,14 @@ def mse_mean(draws: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:
     return means.groupBy(*keys).agg(F.avg((F.col("m") - F.col("y")) ** 2).alias("mse"))
 
 
+def loss(draws: DataFrame, keys: list[str], cell: list[str], name: str) -> DataFrame:
+    """Error of the posterior mean over cells by the name of a loss: mean absolute (l1), or root of the mean square (l2)."""
+    means = draws.groupBy(*cell).agg(F.avg("x").alias("m"), F.max("y").alias("y"))
+    error = F.col("m") - F.col("y")
+    total = F.avg(F.abs(error)) if known(name, LOSSES, "loss") == "l1" else F.sqrt(F.avg(error**2))
+    return means.groupBy(*keys).agg(total.alias("loss"))
+
+
 def chisq_rows(draws: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:
     """Mean over cells of (y - mean)^2 / sample variance, without cells whose variance is below 1e-6; null if none is left."""
     cells = draws.groupBy(*cell).agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.max("y").alias("y"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EPS, LagSpec
+from ..config import EPS, LAG_MEAN, LAG_VAR, LagSpec
 from ..functions import scalars as fs
 from ..functions import special
 from ..inference import spectral
@@ -506,11 +506,25 @@ def zero_mask_rate(spark, d):
     return fx.panel(spark, d).groupBy("s").agg(F.avg((F.col("y") > 0).cast("double")).alias("rate"))
 
 
-@query("d phi*", "lag", "SELECT * FROM lag")
+#: The normal distribution function's series in z: 1/2 + density times the sum of z^(2 n + 1) / (2 n + 1)!!.
+_NORMAL = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * (SELECT sum(power(z, 2 * n + 1) * exp(n * ln(2.0::DOUBLE) + lgamma(n + 1) - lgamma(2 * n + 2))) FROM range(60) r(n))"
+
+
+@query("d phi*", sql=f"WITH c AS (SELECT d, CASE WHEN d = 0 THEN 0 ELSE {_NORMAL} END AS p FROM (SELECT d, (ln(greatest(d, 1)) - {LAG_MEAN!r}::DOUBLE) / sqrt({LAG_VAR!r}::DOUBLE) AS z FROM range(18) x(d))) SELECT d::INTEGER AS d, phi FROM (SELECT d, p - lag(p) OVER (ORDER BY d) AS phi FROM c) WHERE d > 0")
 def lag_kernel(spark, d):
     return special.lag_table(spark, LagSpec())
 
 
+@query("d phi*", sql=f"WITH c AS (SELECT d, CASE WHEN d = 0 THEN 0 ELSE {_NORMAL} END AS p FROM (SELECT d, (ln(greatest(d, 1)) - {LAG_MEAN!r}::DOUBLE) / sqrt({LAG_VAR!r}::DOUBLE) AS z FROM range(18) x(d))) SELECT d::INTEGER AS d, phi / sum(phi) OVER () AS phi FROM (SELECT d, p - lag(p) OVER (ORDER BY d) AS phi FROM c) WHERE d > 0")
+def lag_kernel_rescaled(spark, d):
+    return special.lag_table(spark, LagSpec(rescale=True))
+
+
+@query("d phi*", sql="SELECT d::INTEGER AS d, 1.0::DOUBLE AS phi FROM range(1, 6) x(d)")
+def lag_kernel_uniform(spark, d):
+    return special.lag_table(spark, LagSpec("uniform", 5))
+
+
 _NBINOM = "exp(lgamma({r} + d - 1) - lgamma({r}) - lgamma(d) + (d - 1) * ln({k}) + {r} * ln(1 - {k}))"
 
 
@@ -572,3 +586,25 @@ def yeo_johnson_derivatives(spark, d):
 @query("param chain ess*")
 def ess(spark, d):
     return metrics.ess(fx.chains(spark, d), ["param", "chain"])
+
+
+@query("s t h*", "panel psi", "SELECT s, t, psi AS h FROM psi")
+def gain_identity(spark, d):
+    return fx.psi(spark, d).select("s", "t", fs.gain(F.col("psi"), "identity").alias("h"))
+
+
+@query("s t unit* scale* held*", "panel psi", "SELECT s, t, least(greatest(2 * psi, 0), 1) AS unit, least(greatest(50 * psi, -30), 30) AS scale, psi AS held FROM psi")
+def clamps(spark, d):
+    x = F.col("psi")
+    return fx.psi(spark, d).select("s", "t", fs.clamp01(2 * x).alias("unit"), fs.clamp_log_scale(50 * x).alias("scale"), fs.bounded(x, low=-1.0, high=1.0).alias("held"))
+
+
+@query("s absolute* squared*", "panel samples ydraws", "SELECT s, avg(abs(m - y)) AS absolute, sqrt(avg((m - y) * (m - y))) AS squared FROM (SELECT s, t, avg(x) AS m, max(y) AS y FROM ydraws GROUP BY ALL) GROUP BY s")
+def losses(spark, d):
+    both = {name: metrics.loss(fx.y_draws(spark, d), ["s"], ["s", "t"], kind) for name, kind in (("absolute", "mae"), ("squared", "rmse"))}
+    return both["absolute"].withColumnRenamed("loss", "absolute").join(both["squared"].withColumnRenamed("loss", "squared"), "s")
+
+
+@query("dst src value*", "pairs flows grid", "SELECT dst, src, value FROM grid WHERE dst < src UNION ALL SELECT src, dst, value FROM grid WHERE dst < src")
+def flow_upper_both_sides(spark, d):
+    return network.symmetrize_upper(fx.flow_grid(spark, d), "value")

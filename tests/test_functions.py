@@ -347,3 +347,30 @@ def test_replicates_do_not_depend_on_partitioning(spark):
     f = lambda rng, i: simulate.simulate_series(rng, 20, special.lag_weights(), 0.01, 2.0)
     df = lambda: simulate.replicates(spark, 3, "t int, y double, psi double, lam double", f).toPandas().sort_values(["replicate", "t"]).reset_index(drop=True)
     assert df().equals(df())
+
+
+def test_chains_from_files_and_sinks(spark, tmp_path):
+    from pulsegrid.sources import tables
+
+    for i in (1, 2):
+        tables.sinks(spark.createDataFrame([(i, 0.5)], "iter int, value double"), str(tmp_path / f"c{i}"))
+    got = tables.read_chains(spark, [str(tmp_path / "c1"), str(tmp_path / "c2")])
+    assert sorted((r.chain, r.iter, r.value) for r in got.collect()) == [(1, 1, 0.5), (2, 2, 0.5)]
+    tables.sinks(got, str(tmp_path / "all"), ["chain"])
+    assert spark.read.parquet(str(tmp_path / "all")).where("chain = 2").count() == 1
+    panel = spark.createDataFrame([("3", 1, 2, 9)], "s string, t int, y int, more int")
+    assert tables.conform(panel, "panel").dtypes == [("s", "int"), ("t", "int"), ("y", "double")]
+    with pytest.raises(ValueError):
+        tables.conform(panel.drop("y"), "panel")
+
+
+def test_names_of_transfers_and_losses(spark):
+    from pulsegrid.inference import statespace
+
+    psi, y, spec = np.full(20, 0.3), np.arange(20.0), config.ModelSpec(lag=LagSpec("nbinom", 0.4, 2.0, 20))
+    assert np.allclose(statespace.transfer(spec, psi, y, "solow"), statespace.transfer(spec, psi, y, "slide"))
+    draws = spark.createDataFrame([(0, 1.0, 3.0)], "s int, x double, y double")
+    assert metrics.loss(draws, ["s"], ["s"], "L1").first().loss == 2
+    for call in (lambda: statespace.transfer(spec, psi, y, "other"), lambda: metrics.loss(draws, ["s"], ["s"], "other")):
+        with pytest.raises(ValueError):
+            call()
